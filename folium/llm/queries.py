@@ -4,22 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.llm.common import documents
+from folium.llm import quality_model, toxicity
+from folium.llm.common import documents, tune
 from folium.llm.oracles import ORACLE_SQL
 from folium.llm.quality_rules import quality_rules
 from folium.llm.sharding import shard
+from folium.llm.simhash import near_duplicates
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = documents(spark, sf_dir)
+    return quality_model.classify(docs, quality_model.train(docs, documents(spark, sf_dir, "labels")))
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return near_duplicates(documents(spark, sf_dir))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = documents(spark, sf_dir)
+    return toxicity.classify(docs, toxicity.train(docs, documents(spark, sf_dir, "labels")))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir))
 
 
 def queries() -> dict:
-    return {"op2_sharding": op2_sharding, "op10_quality_rules": op10_quality_rules}
+    return {
+        "op1_quality_classifier": op1_quality_classifier,
+        "op2_sharding": op2_sharding,
+        "op6_simhash_near_dedup": op6_simhash_near_dedup,
+        "op8_toxicity": op8_toxicity,
+        "op10_quality_rules": op10_quality_rules,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -21,9 +21,6 @@ rows score alike; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,57 +29,98 @@ from pyspark.sql import functions as F
 from folium.llm.common import held_out, text_of, training_rows
 
 #: Labelled rows of either class that the network is fitted on, at most.
-PER_CLASS = 1500
+PER_CLASS = 1200
 WINDOW, STRIDE = 16, 8
 WORDS, GRAMS = 1 << 13, 1 << 13
 EMBED, HIDDEN, ATTEND = 6, 12, 8
-ROUNDS, EPOCHS = 2, 6
+ROUNDS, EPOCHS = 2, 4
 THRESHOLD = 0.7
 #: Windows that are scored at a time, and words whose gate inputs are kept.
 BATCH, KEPT_WORDS = 4096, 1 << 17
 _STRIP = ".,;:!?\"'()[]{}<>|*#$%&-_/\\«»„“”…¡¿"
 
 
+#: Words longer than this take their n-grams in a batch of their own width.
+WIDE = 22
+#: Slots of the association tables, indexed by the low bits of a 64-bit hash.
+SLOTS = 1 << 20
+_MUL = np.uint64(0x9E3779B97F4A7C15)
+
+
 def clean_word(token: str) -> str:
     return token.lower().strip(_STRIP)
 
 
-def grams(word: str) -> set[str]:
-    """Character n-grams of three to five letters, with the word's start marked."""
-    marked = "^" + word
-    return {marked[i : i + n] for n in (3, 4, 5) for i in range(max(1, len(marked) - n + 1))}
+def _scramble(h: np.ndarray) -> np.ndarray:
+    h = h * _MUL
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20)
+
+
+def _hash_block(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of words and of their n-grams of 3 to 5 characters, the start marked.
+
+    Returns (words,), (words, grams) and a mask of the latter."""
+    width = max(map(len, words)) + 1
+    codes = np.array(["^" + w for w in words], dtype=f"U{width}").view(np.uint32).reshape(len(words), width).astype(np.uint64)
+    length = np.array([len(w) + 1 for w in words])
+    whole = np.zeros(len(words), dtype=np.uint64)
+    for i in range(width):
+        whole = np.where(i < length, whole * np.uint64(1_000_003) + codes[:, i], whole)
+    parts, valid = [], []
+    for n in (3, 4, 5):
+        if width < n and n > 3:
+            continue
+        count = max(1, width - n + 1)
+        h = np.zeros((len(words), count), dtype=np.uint64)
+        for k in range(min(n, width)):
+            h = h * np.uint64(65_599) + codes[:, k : k + count]
+        parts.append(_scramble(h + np.uint64(n << 56)))
+        ok = np.arange(count) <= (length - n)[:, None]
+        if n == 3:
+            ok[:, 0] = True
+        valid.append(ok)
+    return _scramble(whole), np.concatenate(parts, axis=1), np.concatenate(valid, axis=1)
 
 
-def _hash(x: str, size: int) -> int:
-    return zlib.crc32(x.encode("utf-8", "surrogatepass")) % size
+def hash_words(words: list[str]):
+    """``_hash_block`` over blocks of short words, and over long ones one by one."""
+    short = [i for i, w in enumerate(words) if len(w) <= WIDE]
+    for at in range(0, len(short), 8192):
+        pick = short[at : at + 8192]
+        yield np.array(pick), _hash_block([words[i] for i in pick])
+    for i, w in enumerate(words):
+        if len(w) > WIDE:
+            yield np.array([i]), _hash_block([w])
+
+
+def _slot(h: np.ndarray) -> np.ndarray:
+    return (h & np.uint64(SLOTS - 1)).astype(np.int64)
+
+
+def _bucket(h: np.ndarray, size: int) -> np.ndarray:
+    return (h >> np.uint64(20) & np.uint64(size - 1)).astype(np.int64)
 
 
 class Association:
-    """Standardised log odds of words and n-grams between toxic and clean texts."""
-
-    def __init__(self, texts: list[list[str]], y: np.ndarray, cache: dict):
-        hits = (Counter(), Counter())
-        for words, label in zip(texts, y, strict=True):
-            distinct = set(words)
-            seen = {("w", w) for w in distinct}
-            for w in distinct:
-                if w not in cache:
-                    cache[w] = grams(w)
-                seen.update(cache[w])
-            hits[int(label)].update(seen)
+    """Standardised log odds of words and n-grams between toxic and clean texts.
+
+    Two tables of ``SLOTS``, for words and for n-grams; a text counts once in a slot."""
+
+    def __init__(self, texts: list[np.ndarray], y: np.ndarray, hashed: list[tuple]):
         n1, n0 = float((y == 1).sum()), float((y == 0).sum())
-        self.z = {}
-        for k, a in hits[1].items():
-            b = hits[0][k]
-            if a < 3:
-                continue
+        self.z = np.zeros((2, SLOTS), dtype=np.float32)
+        hits = np.zeros((2, 2, SLOTS), dtype=np.int32)
+        for ids, label in zip(texts, y, strict=True):
+            distinct = np.unique(ids)
+            hits[0, int(label), np.unique(np.array([hashed[i][0] for i in distinct], dtype=np.int64))] += 1
+            if len(distinct):
+                hits[1, int(label), np.unique(np.concatenate([hashed[i][1] for i in distinct]))] += 1
+        for kind in (0, 1):
+            some = np.flatnonzero(hits[kind, 1] >= 3)
+            a, b = hits[kind, 1, some].astype(float), hits[kind, 0, some].astype(float)
             odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
             z = odds / np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5) + 1 / (n1 - a + 0.5) + 1 / (n0 - b + 0.5))
-            if z > 1.5:
-                self.z[k] = min(float(z), 6.0) / 3
-
-    def of(self, word: str, parts: set[str]) -> tuple[float, float]:
-        return self.z.get(("w", word), 0.0), max((self.z.get(g, 0.0) for g in parts), default=0.0)
+            self.z[kind, some] = np.where(z > 2.6, np.minimum(z, 6.0) / 3, 0)
 
 
 def _sigmoid(x):
@@ -153,24 +191,6 @@ def _read_back(keep: list, mask, U, d_out, d_gates, d_U) -> None:
         d_state = d_state * (1 - mask[t]) + d_new * z + d_rec @ U.T
 
 
-class Words:
-    """Distinct words of a training sample: hashed ids and n-grams; id 0 is no word."""
-
-    def __init__(self, cache: dict):
-        self.ids: dict[str, int] = {"": 0}
-        self.cache = cache
-
-    def encode(self, words: list[str]) -> np.ndarray:
-        ids = self.ids
-        return np.array([ids.setdefault(w, len(ids)) for w in words if w], dtype=np.int64)
-
-    def tables(self):
-        names = list(self.ids)
-        parts = [[_hash(g, GRAMS) for g in sorted(self.cache.get(w) or grams(w))] for w in names]
-        starts = np.cumsum([0, *map(len, parts)])
-        return np.array([_hash(w, WORDS) for w in names]), np.concatenate([np.array(x) for x in parts]), starts
-
-
 def windows_of(n: int) -> np.ndarray:
     """Word positions (windows, WINDOW) of a text of n words; -1 where there is none."""
     if n <= WINDOW:
@@ -217,17 +237,27 @@ def gradients(p: dict, x: np.ndarray, ids: np.ndarray, y: np.ndarray, weight: np
     return loss, g, d_rows
 
 
+def word_inputs(p: dict, z: np.ndarray, whole: np.ndarray, parts: np.ndarray, valid: np.ndarray) -> np.ndarray:
+    """Inputs (words, D): word embedding, mean n-gram embedding, two associations."""
+    char = (p["Ec"][_bucket(parts, GRAMS)] * valid[:, :, None]).sum(axis=1) / valid.sum(axis=1)[:, None]
+    a = z[0][_slot(whole)]
+    b = np.where(valid, z[1][_slot(parts)], 0).max(axis=1)
+    return np.concatenate([p["Ew"][_bucket(whole, WORDS)], char, a[:, None], b[:, None]], axis=1).astype(p["Ew"].dtype)
+
+
 class Network:
     """A fitted network with the associations it reads; ``constant`` if none could be fitted."""
 
-    def __init__(self, p: dict | None, z: dict, constant: float | None = None):
+    def __init__(self, p: dict | None, z: np.ndarray | None, constant: float | None = None):
         self.p = None if p is None else {k: v.astype(np.float32) for k, v in p.items()}
         self.z, self.constant = z, constant
         self.memo: dict[str, int] = {}
+        self.filled = 1
         self.gates: np.ndarray | None = None
 
     def _reset(self) -> None:
         self.memo = {}
+        self.filled = 1
         self.gates = np.zeros((1024, 6 * HIDDEN), dtype=np.float32)
 
     def _known(self, tokens: list[str]) -> np.ndarray:
@@ -238,25 +268,19 @@ class Network:
             if len(memo) + len(new) > KEPT_WORDS:
                 self._reset()
                 memo, new = self.memo, set(tokens)
-            p, rows, at = self.p, [], []
-            base = len(memo) + 1
-            for t in new:
-                w = clean_word(t)
-                if not w:
-                    memo[t] = 0
-                    rows.append(np.zeros(2 * EMBED + 2, dtype=np.float32))
-                else:
-                    parts = grams(w)
-                    a, b = self.z.get(("w", w), 0.0), max((self.z.get(g, 0.0) for g in parts), default=0.0)
-                    char = p["Ec"][[_hash(g, GRAMS) for g in sorted(parts)]].mean(axis=0)
-                    memo[t] = base + len(rows)
-                    rows.append(np.concatenate([p["Ew"][_hash(w, WORDS)], char, np.array([a, b], dtype=np.float32)]))
-                at.append(base + len(rows) - 1)
-            x = np.stack(rows)
-            made = np.concatenate([x @ p["Wf"] + p["bf"], x @ p["Wb"] + p["bb"]], axis=1)
-            while at[-1] >= len(self.gates):
+            cleaned = {t: clean_word(t) for t in new}
+            memo.update(dict.fromkeys((t for t, w in cleaned.items() if not w), 0))
+            worded = [t for t, w in cleaned.items() if w]
+            base = self.filled
+            while base + len(worded) > len(self.gates):
                 self.gates = np.concatenate([self.gates, np.zeros_like(self.gates)])
-            self.gates[at] = made
+            for at, hashes in hash_words([cleaned[t] for t in worded]):
+                x = word_inputs(self.p, self.z, *hashes)
+                self.gates[base + at] = np.concatenate(
+                    [x @ self.p["Wf"] + self.p["bf"], x @ self.p["Wb"] + self.p["bb"]], axis=1
+                )
+            memo.update(zip(worded, range(base, base + len(worded)), strict=True))
+            self.filled += len(worded)
         ids = np.fromiter(map(memo.__getitem__, tokens), dtype=np.int64, count=len(tokens))
         return ids[ids > 0]
 
@@ -315,91 +339,119 @@ def fit(rows: list[tuple[str, int]], seed: int = 11) -> Network:
     """Multi-instance training on labelled texts."""
     y = np.array([r[1] for r in rows], dtype=np.float64)
     if len(set(y)) < 2:
-        return Network(None, {}, float((y.sum() + 1) / (len(y) + 2)))
+        return Network(None, None, float((y.sum() + 1) / (len(y) + 2)))
     rng = np.random.default_rng(seed)
-    texts = [[w for w in map(clean_word, (t or "").split()) if w] for t, _ in rows]
-    cache: dict[str, set[str]] = {}
+    index: dict[str, int] = {"": 0}
+    encoded = [
+        np.array([index.setdefault(w, len(index)) for w in map(clean_word, (t or "").split()) if w], dtype=np.int64)
+        for t, _ in rows
+    ]
+    names = list(index)
+    hashed: list = [(0, np.zeros(0, dtype=np.int64), 0, np.zeros(0, dtype=np.int64))] * len(names)
+    for at, (whole, parts, valid) in hash_words(names[1:]):
+        slots, grams, ws, wb = _slot(parts), _bucket(parts, GRAMS), _slot(whole), _bucket(whole, WORDS)
+        for k, i in enumerate(at):
+            hashed[i + 1] = (ws[k], slots[k][valid[k]], wb[k], grams[k][valid[k]])
     fold = rng.permutation(len(y)) % 2
     # Statistics for a text come from the other half of the sample.
-    halves = [Association([t for t, f in zip(texts, fold, strict=True) if f != k], y[fold != k], cache) for k in (0, 1)]
-    final = Association(texts, y, cache)
-    vocab = Words(cache)
-    encoded = [vocab.encode(t) for t in texts]
-    word_hash, gram_hash, starts = vocab.tables()
-    names = list(vocab.ids)
-    lengths = np.diff(starts)
-    stats = [np.array([h.of(w, cache.get(w, set())) if w else (0.0, 0.0) for w in names]) for h in halves]
+    halves = [Association([e for e, f in zip(encoded, fold, strict=True) if f != k], y[fold != k], hashed).z for k in (0, 1)]
+    final = Association(encoded, y, hashed).z
+    stats = [
+        np.array([(z[0][h[0]], z[1][h[1]].max(initial=0)) if i else (0, 0) for i, h in enumerate(hashed)]) for z in halves
+    ]
+    word_hash = np.array([h[2] for h in hashed])
+    lengths = np.array([len(h[3]) for h in hashed])
+    starts = np.cumsum([0, *lengths])
+    gram_hash = np.concatenate([h[3] for h in hashed])
     p = new_parameters(seed)
     every = [windows_of(len(e)) for e in encoded]
     ids = [np.where(w >= 0, e[w] if len(e) else 0, 0) for w, e in zip(every, encoded, strict=True)]
 
+    def grams_of(use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = lengths[use]
+        of = np.repeat(np.arange(len(use)), n)
+        return gram_hash[np.repeat(starts[use] - np.cumsum([0, *n])[:-1], n) + np.arange(n.sum())], of
+
+    def spread(where: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+        return np.stack([np.bincount(where, weights=v, minlength=size) for v in values.T], axis=1)
+
     def inputs(k: int, use: np.ndarray) -> np.ndarray:
-        x = np.zeros((len(use), 2 * EMBED + 2))
-        x[:, :EMBED] = p["Ew"][word_hash[use]]
-        take = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in use])
-        of = np.repeat(np.arange(len(use)), lengths[use])
-        np.add.at(x[:, EMBED : 2 * EMBED], of, p["Ec"][gram_hash[take]] / lengths[use][of][:, None])
-        x[:, 2 * EMBED :] = stats[k][use]
-        return x
+        take, of = grams_of(use)
+        char = spread(of, p["Ec"][take], len(use)) / np.maximum(lengths[use], 1)[:, None]
+        return np.concatenate([p["Ew"][word_hash[use]], char, stats[k][use]], axis=1)
 
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
-    strength = [np.array([stats[fold[i]][w].sum(axis=1).sum() for w in ids[i]]) if len(ids[i]) < 1 else stats[fold[i]].sum(axis=1)[ids[i]].max(axis=1) for i in range(len(y))]
+    strength = [stats[fold[i]].sum(axis=1)[ids[i]].max(axis=1) for i in range(len(y))]
     for _ in range(ROUNDS):
         chosen, labels, folds = [], [], []
         for i in range(len(y)):
             order = np.argsort(-strength[i], kind="stable")
-            pick = order[:2] if y[i] == 1 else np.unique(np.concatenate([order[:2], rng.integers(0, len(order), 3)]))
+            pick = order[:2] if y[i] == 1 else np.unique(np.concatenate([order[:2], rng.integers(0, len(order), 2)]))
             chosen.append(ids[i][pick])
             labels.append(np.full(len(pick), y[i]))
             folds.append(np.full(len(pick), fold[i]))
         win, lab, fol = np.concatenate(chosen), np.concatenate(labels), np.concatenate(folds)
         share = lab.mean()
         weight = np.where(lab == 1, 0.5 / share, 0.5 / (1 - share))
-        for _ in range(EPOCHS):
+        for epoch in range(EPOCHS):
             order = rng.permutation(len(lab))
+            order = order[np.argsort(fol[order] != epoch % 2, kind="stable")]  # batches of one half each
             for at in range(0, len(order), 256):
-                part = order[at : at + 256]
-                total = None
                 for k in (0, 1):
-                    sel = part[fol[part] == k]
-                    if not len(sel):
+                    part = order[at : at + 256]
+                    part = part[fol[part] == k]
+                    if not len(part):
                         continue
-                    use, local = np.unique(win[sel], return_inverse=True)
-                    local = local.reshape(win[sel].shape)
+                    use, local = np.unique(win[part], return_inverse=True)
+                    local = local.reshape(win[part].shape)
                     if use[0] != 0:
                         use, local = np.concatenate([[0], use]), local + 1
-                    _, g, d_rows = gradients(p, inputs(k, use), local, lab[sel], weight[sel] / len(part))
-                    g["Ew"], g["Ec"] = np.zeros_like(p["Ew"]), np.zeros_like(p["Ec"])
-                    np.add.at(g["Ew"], word_hash[use], d_rows[:, :EMBED])
-                    take = np.concatenate([np.arange(starts[i], starts[i + 1]) for i in use])
-                    of = np.repeat(np.arange(len(use)), lengths[use])
-                    np.add.at(g["Ec"], gram_hash[take], d_rows[of, EMBED : 2 * EMBED] / lengths[use][of][:, None])
-                    total = g if total is None else {n: total[n] + v for n, v in g.items()}
-                step += 1
-                for n, grad in total.items():
-                    grad = grad + 1e-5 * p[n]
-                    first[n] = 0.9 * first[n] + 0.1 * grad
-                    second[n] = 0.999 * second[n] + 0.001 * grad**2
-                    p[n] = p[n] - 0.01 * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
-        nets = [Network(p, h.z) for h in halves]
-        for k, net in enumerate(nets):
-            net._reset()
-            for i in np.flatnonzero(fold == k):
-                known = net._known([names[j] for j in encoded[i]])
-                if len(net.memo) > KEPT_WORDS // 2:
-                    net._reset()
-                    known = net._known([names[j] for j in encoded[i]])
-                strength[i] = net._score(np.where(every[i] >= 0, known[every[i]] if len(known) else 0, 0))
-    # The largest of many windows is calibrated: logistic fit of text labels on it.
-    top = np.array([s.max() for s in strength])
-    a, b = 1.0, 0.0
-    weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    for _ in range(300):
-        e = weight * (_sigmoid(a * top + b) - y)
-        a, b = a - 0.05 * ((e * top).mean() + 0.01 * (a - 1)), b - 0.05 * (e.mean() + 0.01 * b)
-    a = max(a, 0.1)
+                    _, g, d_rows = gradients(p, inputs(k, use), local, lab[part], weight[part] / len(part))
+                    g["Ew"] = spread(word_hash[use], d_rows[:, :EMBED], WORDS)
+                    take, of = grams_of(use)
+                    g["Ec"] = spread(take, (d_rows[:, EMBED : 2 * EMBED] / np.maximum(lengths[use], 1)[:, None])[of], GRAMS)
+                    step += 1
+                    for n, grad in g.items():
+                        grad = grad + 1e-5 * p[n]
+                        first[n] = 0.9 * first[n] + 0.1 * grad
+                        second[n] = 0.999 * second[n] + 0.001 * grad**2
+                        p[n] = p[n] - 0.01 * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
+        for k in (0, 1):
+            net, mine = Network(p, halves[k]), np.flatnonzero(fold == k)
+            gates = np.zeros((len(names), 6 * HIDDEN), dtype=np.float32)
+            for at in range(1, len(names), 8192):
+                use = np.arange(at, min(at + 8192, len(names)))
+                x = inputs(k, use).astype(np.float32)
+                gates[use] = np.concatenate([x @ net.p["Wf"] + net.p["bf"], x @ net.p["Wb"] + net.p["bb"]], axis=1)
+            net.gates = gates
+            scored = net._score(np.concatenate([ids[i] for i in mine]))
+            for i, part in zip(mine, np.split(scored, np.cumsum([len(ids[i]) for i in mine])[:-1]), strict=True):
+                strength[i] = part
+    a, b = calibrate(np.array([x.max() for x in strength]), y)
     p["wo"], p["bo"] = p["wo"] * a, p["bo"] * a + b
-    return Network(p, final.z)
+    return Network(p, final)
+
+
+#: A clean text above the threshold costs as much as so many toxic ones below it.
+CLEAN_COST = 4.0
+
+
+def calibrate(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Scale and shift of the largest window's logit, so that ``THRESHOLD`` falls where
+    the sample's errors cost least (the middle of the best gap between values)."""
+    order = np.argsort(top, kind="stable")
+    value, label = top[order], y[order]
+    missed = np.concatenate([[0], np.cumsum(label)]) / max(label.sum(), 1)
+    false = np.concatenate([[0], np.cumsum(1 - label)])
+    false = (false[-1] - false) / max((1 - label).sum(), 1)
+    cost = missed + CLEAN_COST * false
+    best = np.flatnonzero(cost <= cost.min() + 1e-9)
+    edges = np.concatenate([[value[0] - 2.0], value, [value[-1] + 2.0]])
+    lo, hi = edges[best], edges[best + 1]
+    cut = ((lo + hi) / 2)[np.argmax(hi - lo)]
+    spread = max(float(value.std()), 1e-3)
+    scale = 4.0 / spread
+    return scale, float(np.log(THRESHOLD / (1 - THRESHOLD)) - scale * cut)
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col="doc_id", text_col="text") -> Network:
