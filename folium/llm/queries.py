@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folium.llm import quality_model, toxicity
+from folium.llm import bpe, fingerprints, quality_model, toxicity
 from folium.llm.common import documents, tune
 from folium.llm.oracles import ORACLE_SQL
 from folium.llm.quality_rules import quality_rules
@@ -22,6 +22,17 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard(documents(spark, sf_dir))
 
 
+def op4_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
+def op5_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tune(spark)
+    docs = documents(spark, sf_dir)
+    return bpe.encode_documents(docs, bpe.Codec(docs))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return near_duplicates(documents(spark, sf_dir))
@@ -41,6 +52,8 @@ def queries() -> dict:
     return {
         "op1_quality_classifier": op1_quality_classifier,
         "op2_sharding": op2_sharding,
+        "op4_document_fingerprints": op4_document_fingerprints,
+        "op5_bpe_encoding": op5_bpe_encoding,
         "op6_simhash_near_dedup": op6_simhash_near_dedup,
         "op8_toxicity": op8_toxicity,
         "op10_quality_rules": op10_quality_rules,
