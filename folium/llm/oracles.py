@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from folium.llm.lines import MIN_PAGES, RATIO
 from folium.llm.quality_rules import MIN_GROUP, MIN_WORDS, SLACK, SPREAD
 
 _SPACE = r"[\x20\x09-\x0D]"
@@ -49,4 +50,18 @@ FROM m LEFT JOIN b USING (lang, source)
 """
 
 
-ORACLE_SQL = {"op10_quality_rules": quality_rules_sql()}
+def line_dedup_sql() -> str:
+    trim = r"regexp_replace(regexp_replace(x, '^[ \t\r\x0b\x0c]+', ''), '[ \t\r\x0b\x0c]+$', '')"
+    return rf"""
+WITH l AS (SELECT doc_id, source, pos, x, {trim} AS y FROM (
+  SELECT doc_id, source, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)),
+pages AS (SELECT source, count(*) AS n FROM documents GROUP BY source),
+bad AS (SELECT l.source, y FROM l JOIN pages USING (source) WHERE y <> '' GROUP BY l.source, y, n
+  HAVING count(DISTINCT doc_id) >= {MIN_PAGES} AND count(DISTINCT doc_id) > CAST({RATIO} AS DOUBLE) * n)
+SELECT doc_id, count(*) AS n_lines, count(bad.y) AS n_dropped,
+  coalesce(string_agg(x, chr(10) ORDER BY pos) FILTER (WHERE bad.y IS NULL), '') AS clean_text
+FROM l LEFT JOIN bad ON l.source = bad.source AND l.y = bad.y GROUP BY doc_id
+"""
+
+
+ORACLE_SQL = {"op7_line_dedup": line_dedup_sql(), "op10_quality_rules": quality_rules_sql()}
