@@ -54,11 +54,12 @@ def training_rows(
     docs: DataFrame,
     labels: DataFrame,
     label: str,
-    per_class: int,
+    per_class: int | tuple[int, int],
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> list[tuple[str, int]]:
-    """A bounded labelled sample: at most ``per_class`` rows of either label.
+    """A bounded labelled sample: at most ``per_class`` rows of either label, or of
+    labels 0 and 1 where two bounds are given.
 
     Held-out ids, null labels and null ids are left out before the choice, which
     takes the smallest hashes of the id, so it is the same for any partitioning.
@@ -71,17 +72,18 @@ def training_rows(
         .agg(F.max("_y").alias("_y"))
         .withColumn("_h", F.xxhash64(F.lit("train"), "_id"))
     )
+    bounds = per_class if isinstance(per_class, tuple) else (per_class, per_class)
     chosen = None
     for y in (0, 1):
-        part = known.where(F.col("_y") == y).orderBy("_h", "_id").limit(per_class)
+        part = known.where(F.col("_y") == y).orderBy("_h", "_id").limit(bounds[y])
         chosen = part if chosen is None else chosen.unionByName(part)
-    # At most 2 * per_class rows of two numbers: bounded by the parameter.
+    # A few thousand rows of three numbers: bounded by the parameter.
     chosen = F.broadcast(chosen)
     rows = (
         docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
         .join(chosen, "_id")
         .orderBy("_h", "_id", F.xxhash64("_t"))
-        .limit(2 * per_class)
+        .limit(sum(bounds))
         .select("_t", "_y")
         .collect()
     )

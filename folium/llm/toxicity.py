@@ -12,7 +12,7 @@ Training is multi-instance: only texts are labelled, so each round scores every
 of the sample, keeps the strongest windows of each text (and random ones of clean
 texts) and fits on them.  Association statistics used in training come from the other
 half of the sample, so a text never sees its own label.  The sample is bounded by
-``PER_CLASS`` rows of either label and holds no held-out row.
+``PER_CLASS`` and holds no held-out row.
 
 Defined cases: null, empty and blank texts are one window without words and get a
 score; without rows of both labels the score is the smoothed share of label 1; repeated
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 
 from folium.llm.common import held_out, text_of, training_rows
 
-#: Labelled rows of either class that the network is fitted on, at most.
-PER_CLASS = 1200
+#: Labelled rows that the network is fitted on, at most: clean ones, toxic ones.
+PER_CLASS = (2400, 1200)
 WINDOW, STRIDE = 16, 8
 WORDS, GRAMS = 1 << 13, 1 << 13
 EMBED, HIDDEN, ATTEND = 6, 12, 8
@@ -454,7 +454,7 @@ def calibrate(top: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return scale, float(np.log(THRESHOLD / (1 - THRESHOLD)) - scale * cut)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, id_col="doc_id", text_col="text") -> Network:
+def train(docs: DataFrame, labels: DataFrame, per_class: tuple[int, int] = PER_CLASS, id_col="doc_id", text_col="text") -> Network:
     return fit(training_rows(docs, labels, "toxic", per_class, id_col, text_col))
 
 
