@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "a13_label_rollup"
+FLAGSHIP = "a8_claim_aggregate"
 
 
 def _modules():
