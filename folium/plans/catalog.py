@@ -6,9 +6,9 @@ FLAGSHIP = "a8_claim_aggregate"
 
 
 def _modules():
-    from folium.plans import evaluation
+    from folium.plans import evaluation, raters, trends
 
-    return [evaluation]
+    return [evaluation, raters, trends]
 
 
 def queries() -> dict:
