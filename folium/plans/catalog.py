@@ -6,9 +6,9 @@ FLAGSHIP = "a8_claim_aggregate"
 
 
 def _modules():
-    from folium.plans import evaluation, raters, texts, trends
+    from folium.plans import evaluation, raters, retrieval, texts, traces, trends
 
-    return [evaluation, raters, texts, trends]
+    return [evaluation, raters, retrieval, texts, traces, trends]
 
 
 def queries() -> dict:
