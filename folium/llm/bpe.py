@@ -38,10 +38,15 @@ from folium.llm.common import text_of
 
 LEXICON = 50_000
 SUMMARY = 1 << 15
+#: Rank of a pair that does not merge.
+NONE = np.int32(2**31 - 1)
 #: Pieces whose ids a worker keeps; cleared when full.
 KEPT = 1 << 18
+#: Characters of the texts whose unseen pieces are learned together.
+AT_A_TIME = 1 << 20
 #: White space of Unicode, as the pattern's \s means it.
 _WS = "\t-\r \x85\xa0  -     　"
+_CLOSERS = frozenset(".,;:!?")
 _PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -74,6 +79,13 @@ class Vocabulary:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.ranks = {(raw(a), raw(b)): r for r, (a, b) in enumerate(pairs)}
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        # The merges as arrays: sorted keys of id pairs, their ranks and what they make.
+        keys = np.array([(self.ids[a] << 20) | self.ids[b] for a, b in self.ranks], dtype=np.int64)
+        order = np.argsort(keys)
+        self.pair_keys = keys[order]
+        self.pair_ranks = np.array(list(self.ranks.values()), dtype=np.int32)[order]
+        self.pair_made = np.array([self.ids[a + b] for a, b in self.ranks], dtype=np.int32)[order]
+        self.byte_ids = np.array([self.ids[bytes([b])] for b in range(256)], dtype=np.int32)
         self.bytes = {i: t for t, i in self.ids.items()}
         self.bytes |= {i: t.encode() for t, i in self.added.items()}
 
@@ -97,6 +109,65 @@ class Vocabulary:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return [self.ids[p] for p in parts]
 
+    def _pairs(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank of each pair (``NONE`` where it does not merge) and its place in the arrays."""
+        keys = (left.astype(np.int64) << 20) | right
+        at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
+        ok = (self.pair_keys[at] == keys) & (left >= 0) & (right >= 0)
+        return np.where(ok, self.pair_ranks[at], NONE), at
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """``merge`` for many words at a time, as little-endian 32-bit ids.
+
+        Words of similar length are rows of a matrix; each step finds the leftmost pair of
+        least rank of every row, merges it and closes the gap."""
+        out: list[bytes] = [b""] * len(words)
+        length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        for low, high in ((0, 8), (8, 16), (16, 32), (32, 64)):
+            pick = np.flatnonzero((length > low) & (length <= high))
+            for at in range(0, len(pick), 4096):
+                self._merge_block(words, pick[at : at + 4096], high, out)
+        for i in np.flatnonzero(length > 64).tolist():
+            out[i] = np.asarray(self.merge(words[i]), dtype="<u4").tobytes()
+        return out
+
+    def _merge_block(self, words: list[bytes], pick: np.ndarray, width: int, out: list[bytes]) -> None:
+        n = len(pick)
+        if not n:
+            return
+        chars = np.frombuffer(b"".join([words[i].ljust(width, b"\0") for i in pick]), dtype=np.uint8).reshape(n, width)
+        size = np.array([len(words[i]) for i in pick])
+        ids = np.full((n, width + 1), -1, dtype=np.int32)
+        ids[:, :width] = np.where(np.arange(width) < size[:, None], self.byte_ids[chars], -1)
+        rank = np.full((n, width + 1), NONE, dtype=np.int32)
+        rank[:, :width] = self._pairs(ids[:, :-1], ids[:, 1:])[0]
+        live = np.arange(n)
+        cols = np.arange(width)
+        while len(live):
+            r = rank[live]
+            best = r.argmin(axis=1)
+            going = r[np.arange(len(live)), best] < NONE
+            live, best = live[going], best[going]
+            if not len(live):
+                break
+            _, at = self._pairs(ids[live, best], ids[live, best + 1])
+            made = self.pair_made[at]
+            # Columns after the merged pair move one to the left.
+            source = cols + (cols > best[:, None])
+            row = live[:, None]
+            moved, moved_rank = ids[row, source], rank[row, source]
+            moved[np.arange(len(live)), best] = made
+            size[live] -= 1
+            after = np.where(best + 1 < width, moved[np.arange(len(live)), np.minimum(best + 1, width - 1)], -1)
+            moved_rank[np.arange(len(live)), best] = self._pairs(made, after)[0]
+            has = best > 0
+            k = np.flatnonzero(has)
+            moved_rank[k, best[k] - 1] = self._pairs(moved[k, best[k] - 1], made[k])[0]
+            ids[live, :width], rank[live, :width] = moved, moved_rank
+        flat = ids[:, :width].astype("<u4")
+        for row, i in enumerate(pick.tolist()):
+            out[i] = flat[row, : size[row]].tobytes()
+
     def _merge_long(self, parts: list[bytes]) -> list[int]:
         """The same order with a heap and a linked list, for words of many bytes."""
         import heapq
@@ -265,43 +336,76 @@ class Encoder:
         self.words = regex.compile(WORD_PATTERN)
         self.added = re.compile("|".join(map(re.escape, sorted(vocabulary.added, key=len, reverse=True)))) if vocabulary.added else None
         self.memo: dict[str, bytes] = {}
+        self.t_out = transducer.out.astype("<u4").tobytes()
         size = max(vocabulary.bytes) + 1
         self.pieces = [vocabulary.bytes.get(i, b"") for i in range(size)]
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Ids of unseen pieces: the automaton first, merges for what it lacks."""
-        new = [p for p in pieces if p not in self.memo]
-        cut = [[w.encode("utf-8", "surrogatepass") for w in self.words.findall(p)] for p in new]
-        words = list({w for c in cut for w in c})
-        ids = {}
-        for w, k in zip(words, self.t.index(words).tolist(), strict=True):
-            found = self.t.ids_of(k) if k >= 0 else self.v.merge(w)
-            ids[w] = np.asarray(found, dtype="<u4").tobytes()
+        cut = list(map(self._cut, new))
+        names = list({w for c in cut for w in c})
+        words = [w.encode("utf-8", "surrogatepass") for w in names]
+        index = self.t.index(words)
+        first, ids = self.t.first, {}
+        known = np.flatnonzero(index >= 0)
+        at = index[known]
+        for k, a, b in zip(known.tolist(), (4 * first[at]).tolist(), (4 * first[at + 1]).tolist(), strict=True):
+            ids[names[k]] = self.t_out[a:b]
+        rest = np.flatnonzero(index < 0).tolist()
+        ids.update(zip([names[k] for k in rest], self.v.merge_many([words[k] for k in rest]), strict=True))
         for p, c in zip(new, cut, strict=True):
-            self.memo[p] = b"".join([ids[w] for w in c])
+            self.memo[p] = ids[c[0]] if len(c) == 1 else b"".join([ids[w] for w in c])
+
+    def _cut(self, piece: str) -> list[str]:
+        """Words of a piece; the two common shapes need no pattern."""
+        body = piece[1:] if piece[0] == " " else piece
+        if body.isalpha():
+            return [piece]
+        if body[-1:] in _CLOSERS and body[:-1].isalpha():
+            return [piece[:-1], piece[-1]]
+        return self.words.findall(piece)
+
+    def _parts(self, text: str) -> list:
+        """A text as piece lists and the added tokens between them."""
+        if self.added is None or not self.added.search(text):
+            return [_PIECE.findall(text)]
+        out, at = [], 0
+        for m in self.added.finditer(text):
+            out += [_PIECE.findall(text[at : m.start()]), np.asarray([self.v.added[m[0]]], dtype="<u4").tobytes()]
+            at = m.end()
+        return [*out, _PIECE.findall(text[at:])]
 
-    def _plain(self, text: str) -> bytes:
-        pieces = _PIECE.findall(text)
+    def encode_many(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers.
+
+        Unseen pieces of all the texts are learned together."""
+        parts = [self._parts(t or "") for t in texts]
         memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, pieces))
-        except KeyError:
-            pass
         if len(memo) > KEPT:
             memo.clear()
-        self._learn(set(pieces))
-        return b"".join(map(memo.__getitem__, pieces))
+        new: set[str] = set()
+        for text in parts:
+            for part in text:
+                if isinstance(part, list):
+                    new.update(set(part).difference(memo))
+        if new:
+            self._learn(list(new))
+        join = lambda part: part if isinstance(part, bytes) else b"".join(map(memo.__getitem__, part))
+        return [b"".join(map(join, text)) for text in parts]
 
     def encode(self, text: str | None) -> bytes:
-        """Ids as little-endian unsigned 32-bit integers."""
-        text = text or ""
-        if self.added is None or not self.added.search(text):
-            return self._plain(text)
-        out, at = [], 0
-        for m in self.added.finditer(text):
-            out += [self._plain(text[at : m.start()]), np.asarray([self.v.added[m[0]]], dtype="<u4").tobytes()]
-            at = m.end()
-        return b"".join([*out, self._plain(text[at:])])
+        return self.encode_many([text])[0]
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        """``encode_many`` over runs of texts of about ``AT_A_TIME`` characters."""
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t or "")
+            if size >= AT_A_TIME:
+                out += self.encode_many(held)
+                held, size = [], 0
+        return out + self.encode_many(held)
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.pieces.__getitem__, np.frombuffer(ids, dtype="<u4").tolist())).decode("utf-8", "replace")
@@ -352,12 +456,15 @@ def build_transducer(vocabulary: Vocabulary, pieces: list[str]) -> Transducer:
 
 
 class Codec:
-    """What tasks need to encode: the vocabulary file's content and the automaton."""
+    """What tasks need to encode: the vocabulary file's content and the automaton.
+
+    With ``size`` 0 the corpus is not counted and every unseen word is merged."""
 
     def __init__(self, docs: DataFrame, vocabulary_path: str | None = None, text_col: str = "text", size: int = LEXICON):
         with open(vocabulary_path or default_vocabulary(), encoding="utf-8") as f:
             content = f.read()
-        built = build_transducer(Vocabulary(content), frequent_words(docs, size, text_col))
+        frequent = frequent_words(docs, size, text_col) if size else []
+        built = build_transducer(Vocabulary(content), frequent)
         self.shared = docs.sparkSession.sparkContext.broadcast((content, built.dump()))
 
     def encoder(self) -> Encoder:
@@ -374,8 +481,7 @@ def encode_documents(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text
         encoder = codec.encoder()
         for b in batches:
             n, digest, decoded, kept = [], [], [], []
-            for t in b.column(1):
-                found = encoder.encode(t.as_py())
+            for found in encoder.encode_batch(b.column(1).to_pylist()):
                 n.append(len(found) // 4)
                 digest.append(hashlib.sha256(found).hexdigest())
                 decoded.append(hashlib.sha256(encoder.decode(found).encode("utf-8", "surrogatepass")).hexdigest())

@@ -70,8 +70,8 @@ def partition_counts(docs: DataFrame, codec: Codec, id_col: str, text_col: str)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, n = codec.encoder(), 0
         for b in batches:
-            for t in b.column(1):
-                n += -(-len(encoder.encode(t.as_py())) // (4 * LENGTH))
+            for ids in encoder.encode_batch(b.column(1).to_pylist()):
+                n += -(-len(ids) // (4 * LENGTH))
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
 
     return dict(map(tuple, _rows(docs, id_col, text_col).mapInArrow(count, "part int, n long").collect()))
@@ -99,7 +99,7 @@ def materialise(
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, at = codec.encoder(), first.get(TaskContext.get().partitionId(), 0)
         for b in batches:
-            made = [records(i.as_py(), encoder.encode(t.as_py())) for i, t in zip(b.column(0), b.column(1), strict=True)]
+            made = [records(i, ids) for i, ids in zip(b.column(0).to_pylist(), encoder.encode_batch(b.column(1).to_pylist()), strict=True)]
             flat = np.concatenate(made) if made else np.zeros(0, dtype=RECORD)
             n = len(flat)
             # The record's own newline is left to the writer's line separator.
@@ -162,7 +162,7 @@ def read_index(spark: SparkSession, path: str, shard_rows: int = SHARD_ROWS) ->
 def training_order(docs: DataFrame, codec: Codec | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Write the shards and return their index."""
     spark = docs.sparkSession
-    path, total = materialise(docs, codec or Codec(docs, text_col=text_col), id_col=id_col, text_col=text_col, **options)
+    path, total = materialise(docs, codec or Codec(docs, text_col=text_col, size=0), id_col=id_col, text_col=text_col, **options)
     if not total:
         return spark.createDataFrame(
             [], "doc_id long, seq_no int, slot long, shard long, byte_offset long, n_tokens int, ids_crc32 long"
