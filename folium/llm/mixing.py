@@ -102,6 +102,11 @@ def train(docs: DataFrame, labels: DataFrame, domain_col: str = "lang", id_col="
     return model
 
 
+def tokens(text: Column) -> Column:
+    """Words between white space."""
+    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != "")).cast("long")
+
+
 def posterior_column(spark: SparkSession, model: DomainModel, text: Column) -> Column:
     shared = spark.sparkContext.broadcast((model.domains, model.log_share))
     local = None
@@ -173,7 +178,7 @@ def with_rates(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text
     members = docs.select(
         F.col(id_col).alias("_id"),
         F.xxhash64(F.lit(KEY), F.col(id_col), text).alias("_h"),
-        F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(text, r"\s+"))).cast("long").alias("_tokens"),
+        tokens(text).alias("_tokens"),
         posterior_column(docs.sparkSession, model, text).alias("_p"),
     )
     members = durable(members)
@@ -209,7 +214,7 @@ def apply_mix(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     model = train(docs, labels, id_col=id_col, text_col=text_col)
     spark, text = docs.sparkSession, text_of(text_col)
     members = docs.select(
-        F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(text, r"\s+"))).cast("long").alias("_tokens"),
+        tokens(text).alias("_tokens"),
         posterior_column(spark, model, text).alias("_p"),
     )
     history = fit_rates(durable(members), len(model.domains))
