@@ -23,8 +23,8 @@ def wilson(successes: Column, total: Column, z: float = 1.96) -> Column:
     center = (p + z * z / (2 * n)) / denom
     margin = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / denom
     return F.struct(
-        F.coalesce(F.greatest(F.lit(0.0), F.round(center - margin, 3)), F.lit(0.0)).alias("lo"),
-        F.coalesce(F.least(F.lit(1.0), F.round(center + margin, 3)), F.lit(0.0)).alias("hi"),
+        F.when(total == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.round(center - margin, 3))).alias("lo"),
+        F.when(total == 0, 0.0).otherwise(F.least(F.lit(1.0), F.round(center + margin, 3))).alias("hi"),
     )
 
 
