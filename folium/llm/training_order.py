@@ -1,6 +1,6 @@
 """Operator 3: token ids in training order, as fixed-stride binary shards.
 
-Texts are encoded (operator 5) and cut into sequences of ``LENGTH`` ids, the last one
+Texts are encoded and cut into sequences of ``LENGTH`` ids, the last one
 padded.  Sequence g of the corpus goes to slot permute(g) of the keyed Feistel permutation,
 so slots are a shuffle without gaps; slot s lies in shard s div ``SHARD_ROWS``.
 Ranges of shards are the partitions of one shuffle, each sorted by slot and written as
@@ -31,7 +31,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.bpe import Codec
 from folium.llm.common import shared_dir, text_of
 from folium.llm.feistel import permute
 
@@ -45,6 +44,39 @@ MAX_RANGES = 20_000
 RECORD = np.dtype([("id", "<i8"), ("seq", "<i4"), ("n", "<i4"), ("ids", "<u2", (LENGTH,)), ("end", "u1")])
 
 
+class TokenIds:
+    """Encodes by the ranks of a byte-level vocabulary with the tiktoken library.
+
+    Strings of special tokens are ordinary text, so ``PAD`` occurs as padding only.
+    Any object with ``encoder().encode_batch(texts)`` can take its place, such as the
+    codec of operator 5."""
+
+    PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        if path is None:
+            import public_tokenizers
+
+            path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+        with open(path, "rb") as f:
+            self.shared = spark.sparkContext.broadcast(f.read())
+
+    def encoder(self) -> TokenIds.Encoder:
+        return TokenIds.Encoder(self.shared.value)
+
+    class Encoder:
+        def __init__(self, content: bytes):
+            import base64
+
+            import tiktoken
+
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
+            self.one = tiktoken.Encoding("ranks", pat_str=TokenIds.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+        def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+            return [self.one.encode_to_numpy(t or "", disallowed_special=()).astype("<u4").tobytes() for t in texts]
+
+
 def records(doc_id: int | None, ids: bytes) -> np.ndarray:
     """The records of one text from its ids (unsigned 32-bit, little-endian)."""
     flat = np.frombuffer(ids, dtype="<u4")
@@ -64,7 +96,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t"))
 
 
-def partition_counts(docs: DataFrame, codec: Codec, id_col: str, text_col: str) -> dict[int, int]:
+def partition_counts(docs: DataFrame, codec: TokenIds, id_col: str, text_col: str) -> dict[int, int]:
     """Sequences of each input partition: one number per task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +111,7 @@ def partition_counts(docs: DataFrame, codec: Codec, id_col: str, text_col: str)
 
 def materialise(
     docs: DataFrame,
-    codec: Codec,
+    codec: TokenIds,
     path: str | None = None,
     key: int = KEY,
     shard_rows: int = SHARD_ROWS,
@@ -159,10 +191,10 @@ def read_index(spark: SparkSession, path: str, shard_rows: int = SHARD_ROWS) ->
     return files.select(F.col("shard").cast("long"), "content").mapInArrow(parse, schema)
 
 
-def training_order(docs: DataFrame, codec: Codec | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def training_order(docs: DataFrame, codec: TokenIds | None = None, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Write the shards and return their index."""
     spark = docs.sparkSession
-    path, total = materialise(docs, codec or Codec(docs, text_col=text_col, size=0), id_col=id_col, text_col=text_col, **options)
+    path, total = materialise(docs, codec or TokenIds(spark), id_col=id_col, text_col=text_col, **options)
     if not total:
         return spark.createDataFrame(
             [], "doc_id long, seq_no int, slot long, shard long, byte_offset long, n_tokens int, ids_crc32 long"

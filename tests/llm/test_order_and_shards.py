@@ -5,7 +5,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from folium.llm import feistel, training_order
-from folium.llm.bpe import Codec
 from folium.llm.sharding import shard
 from tests.llm import helpers
 
@@ -58,14 +57,14 @@ def test_training_order_round_trip(spark, tmp_path):
     path = str(tmp_path / "docs")
     docs.write.parquet(path)
     docs = spark.read.parquet(path)
-    codec = Codec(docs, size=0)
+    codec = training_order.TokenIds(spark)
     out, total = training_order.materialise(docs, codec, str(tmp_path / "shards"), shard_rows=16)
     index = training_order.read_index(spark, out, 16).collect()
     assert sorted(r.slot for r in index) == list(range(total))
     encoder = codec.encoder()
     want = {}
     for r in docs.collect():
-        ids = np.frombuffer(encoder.encode(r.text), dtype="<u4")
+        ids = np.frombuffer(encoder.encode_batch([r.text])[0], dtype="<u4")
         for k in range(-(-len(ids) // training_order.LENGTH)):
             part = ids[k * training_order.LENGTH : (k + 1) * training_order.LENGTH]
             padded = np.full(training_order.LENGTH, training_order.PAD, dtype="<u2")
@@ -85,4 +84,15 @@ def test_training_order_round_trip(spark, tmp_path):
 
 
 def test_training_order_empty(spark):
-    assert training_order.training_order(helpers.empty(spark), Codec(helpers.empty(spark), size=0)).collect() == []
+    assert training_order.training_order(helpers.empty(spark)).collect() == []
+
+
+def test_token_ids_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    from folium.llm.bpe import default_vocabulary
+
+    library = Tokenizer.from_file(default_vocabulary())
+    texts = ["", "hello  world\n\n I'll x", "é日本😀 12³", "x" * 3000, " \t\n a"]
+    for t, got in zip(texts, training_order.TokenIds(spark).encoder().encode_batch(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
