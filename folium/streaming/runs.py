@@ -20,10 +20,15 @@ GAP = "120 seconds"
 LATE = "10 minutes"
 
 
+def _timed(events: DataFrame) -> DataFrame:
+    """Event time as an instant; tables without a zone are read in the session's."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def live_sessions(events: DataFrame, gap: str = GAP, late: str = LATE) -> DataFrame:
     """(user_id, start, end, n): one row for each run of events without the gap."""
     return (
-        events.withWatermark("ts", late)
+        _timed(events).withWatermark("ts", late)
         .groupBy("user_id", F.session_window("ts", gap).alias("w"))
         .agg(F.count("*").alias("n"))
         .select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
@@ -33,7 +38,7 @@ def live_sessions(events: DataFrame, gap: str = GAP, late: str = LATE) -> DataFr
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = LATE) -> DataFrame:
     """Events per type and tumbling window."""
     return (
-        events.withWatermark("ts", late)
+        _timed(events).withWatermark("ts", late)
         .groupBy(F.window("ts", width).alias("w"), "event_type")
         .agg(F.count("*").alias("n"), F.sum("value").alias("total"))
         .select(F.col("w.start").alias("start"), "event_type", "n", "total")

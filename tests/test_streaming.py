@@ -16,9 +16,9 @@ def test_windowed_counts_equal_batch(spark, data, tmp_path):
     batch.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
     drain(runs.windowed_counts(stream), "counts", "complete")
-    got = {(r.start, r.event_type): r.n for r in spark.table("counts").collect()}
+    got = {(r.start.replace(tzinfo=None), r.event_type): r.n for r in spark.table("counts").collect()}
     want = batch.groupBy(F.window("ts", "1 hour").alias("w"), "event_type").count()
-    assert got == {(r.w.start, r.event_type): r["count"] for r in want.collect()}
+    assert got == {(r.w.start.replace(tzinfo=None), r.event_type): r["count"] for r in want.collect()}
 
 
 def test_line_events(spark):
