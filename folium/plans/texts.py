@@ -224,7 +224,7 @@ SELECT source, line, count(*) AS pages FROM l JOIN p USING (source) WHERE line <
 def recurring_lines(spark, sf_dir):
     """Short lines on many pages of a source; lines are counted once a page in the row."""
     rows = docs(spark, sf_dir, "source", "text")
-    lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), F.trim), lambda x: (x != "") & (F.char_length(x) <= 80)))
+    lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & (F.char_length(x) <= 80)))
     counted = rows.select("source", F.explode(lines).alias("line")).groupBy("source", "line").agg(F.count("*").alias("pages"))
     totals = rows.groupBy("source").agg(F.count("*").alias("n"))
     need = F.greatest(F.lit(3), F.floor(F.lit(0.02) * F.col("n")))
@@ -244,7 +244,7 @@ def anchor_coverage(spark, sf_dir):
     mark = F.concat(F.lit(" (S. "), F.col("doc_id") % 90 + 1, F.lit(")"))
     at = F.regexp_instr("text", F.lit("[.!?] "))
     t = F.when(at > 0, F.concat(F.expr("substring(text, 1, regexp_instr(text, '[.!?] ') - 1)"), mark, F.expr("substring(text, regexp_instr(text, '[.!?] '))"))).otherwise(F.col("text"))
-    prose = F.filter(F.transform(F.split("t", "\n"), F.trim), lambda x: (x != "") & ~x.rlike(r"^(- |\* |#|> |\|)"))
+    prose = F.filter(F.transform(F.split("t", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.rlike(r"^(- |\* |#|> |\|)"))
     s = F.filter(F.flatten(F.transform(prose, lambda x: F.split(x, r"(?<=[.!?])\s+"))), lambda x: F.char_length(F.trim(x)) >= 40)
     rows = docs(spark, sf_dir).select("doc_id", t.alias("t")).select("doc_id", s.alias("s"))
     hits = F.size(F.filter("s", lambda x: x.rlike(r"\(S\. \d+(-\d+)?\)")))
