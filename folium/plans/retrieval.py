@@ -264,3 +264,12 @@ def common_prefix(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("source", "lang", F.regexp_extract("text", r"^\S+", 0).alias("w"))
     shared = (F.min("w") == F.max("w")) & (F.count("*") >= 3)
     return rows.groupBy("source", "lang").agg(shared.alias("shared"), F.count("*").alias("n"))
+
+
+@query("j7_entity_clusters")
+def entity_clusters(spark, sf_dir):
+    """Clusters of part titles that differ by one token (tests hold it against brute force)."""
+    from folium.operators.entities import clusters
+
+    rows = part_titles(spark, sf_dir).select(F.col("title").alias("id"), "toks")
+    return clusters(rows, GENERIC).select(F.col("id").alias("title"), "cluster")
