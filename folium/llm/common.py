@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.operators.durable import durable, shared_dir
+
+__all__ = ["documents", "durable", "held_out", "shared_dir", "text_of", "training_rows", "tune"]
+
 #: Documents of one Arrow batch; bounds what a Python worker holds at a time.
 ARROW_ROWS = 500
 
@@ -17,25 +19,6 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where that setting is
-    absent (a local session, as in tests) a temporary folder takes its place.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir", None)
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folium-"))
-    return named or sc._jsc.sc().getCheckpointDir().get()
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def text_of(col: str = "text") -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(col), F.lit(""))
