@@ -62,7 +62,14 @@ class TokenIds:
             self.shared = spark.sparkContext.broadcast(f.read())
 
     def encoder(self) -> TokenIds.Encoder:
-        return TokenIds.Encoder(self.shared.value)
+        """The encoder of this worker, built once for all its tasks."""
+        content = self.shared.value
+        held = TokenIds._held
+        if held is None or held[0] != content:
+            held = TokenIds._held = (content, TokenIds.Encoder(content))
+        return held[1]
+
+    _held: tuple | None = None
 
     class Encoder:
         def __init__(self, content: bytes):
@@ -102,7 +109,11 @@ def partition_counts(docs: DataFrame, codec: TokenIds, id_col: str, text_col: st
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, n = codec.encoder(), 0
         for b in batches:
-            for ids in encoder.encode_batch(b.column(1).to_pylist()):
+            texts = b.column(1).to_pylist()
+            # An id covers a byte at least, so a text of LENGTH bytes is one sequence.
+            short = [len(t) <= LENGTH and len(t.encode("utf-8", "surrogatepass")) <= LENGTH for t in texts]
+            n += sum(1 for t, s in zip(texts, short, strict=True) if s and t)
+            for ids in encoder.encode_batch([t for t, s in zip(texts, short, strict=True) if not s]):
                 n += -(-len(ids) // (4 * LENGTH))
         yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
 
@@ -171,7 +182,7 @@ def read_index(spark: SparkSession, path: str, shard_rows: int = SHARD_ROWS) ->
             for shard, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 buffer = content.as_buffer()
                 found = np.frombuffer(buffer, dtype=RECORD)
-                ids = found["id"]
+                ids, view = found["id"], memoryview(buffer)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64(), mask=ids == -(1 << 63)),
@@ -180,7 +191,7 @@ def read_index(spark: SparkSession, path: str, shard_rows: int = SHARD_ROWS) ->
                         pa.array(np.full(len(found), shard), pa.int64()),
                         pa.array(np.arange(len(found)) * STRIDE, pa.int64()),
                         pa.array(found["n"], pa.int32()),
-                        pa.array([zlib.crc32(r.tobytes()) for r in found["ids"]], pa.int64()),
+                        pa.array([zlib.crc32(view[k : k + 2 * LENGTH]) for k in range(16, len(view), STRIDE)], pa.int64()),
                     ],
                     ["doc_id", "seq_no", "slot", "shard", "byte_offset", "n_tokens", "ids_crc32"],
                 )
