@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import text as T
 from folium.operators.components import connected_components
+from folium.operators.durable import durable
 
 MAX_DIFFERENCE = 1
 
@@ -25,7 +26,9 @@ def accepted_pairs(titles: DataFrame, generic: list[str]) -> DataFrame:
     # Equal sets: every row hangs on the smallest of its set.
     same = short.join(short.groupBy("k").agg(F.min("a").alias("b")), "k").where("a <> b").select("a", "b")
     first = short.groupBy("k").agg(F.min("a").alias("a"))
-    return first.join(long, "k").select("a", "b").unionByName(same).select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
+    # Both sides are cut first: the optimizer loses track of constraints over their union.
+    sides = [durable(x.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()) for x in (first.join(long, "k"), same)]
+    return sides[0].unionByName(sides[1])
 
 
 def clusters(titles: DataFrame, generic: list[str]) -> DataFrame:

@@ -11,8 +11,8 @@ from folium.sources.tables import table
 QUERIES = Registry()
 query = QUERIES.query
 
-# Prices per million tokens of the price table used in the plans.
-PRICES = [("view", 3.0, 15.0), ("click", 0.25, 1.25), ("purchase", 15.0, 75.0)]
+# Prices in cents per million input and output tokens.
+PRICES = [("view", 300, 1500), ("click", 25, 125), ("purchase", 1500, 7500)]
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,14 +78,16 @@ def agent_stats(spark, sf_dir):
 
 @query(
     "f37_cost_per_call",
-    """WITH p(m, i, o) AS (VALUES ('view', 3.0, 15.0), ('click', 0.25, 1.25), ('purchase', 15.0, 75.0))
-SELECT event_id, coalesce(round(CAST(i AS DOUBLE) * (event_id % 1000) / 1e6 + CAST(o AS DOUBLE) * (user_id % 100) / 1e6, 6), 0.0) AS cost FROM events LEFT JOIN p ON m = split_part('provider/' || event_type, '/', 2)""",
+    """WITH p(m, i, o) AS (VALUES ('view', 300, 1500), ('click', 25, 125), ('purchase', 1500, 7500))
+SELECT event_id, coalesce(((i * (event_id % 1000) + o * (user_id % 100) + 50) // 100) / 1e6, 0.0) AS cost FROM events LEFT JOIN p ON m = split_part('provider/' || event_type, '/', 2)""",
 )
 def cost_per_call(spark, sf_dir):
-    """Price table join on the model without its provider; unpriced models cost nothing."""
-    prices = F.broadcast(spark.createDataFrame(PRICES, "m string, i double, o double"))  # a fixed table
+    """Price table join on the model without its provider; unpriced models cost nothing.
+
+    Dollars to six digits, halves up, in whole numbers until the last division."""
+    prices = F.broadcast(spark.createDataFrame(PRICES, "m string, i long, o long"))  # a fixed table
     rows = events(spark, sf_dir).withColumn("m", F.substring_index(F.concat(F.lit("provider/"), "event_type"), "/", -1))
-    cost = F.round(F.col("i") * (F.col("event_id") % 1000) / 1e6 + F.col("o") * (F.col("user_id") % 100) / 1e6, 6)
+    cost = F.expr("((i * (event_id % 1000) + o * (user_id % 100) + 50) div 100) / 1e6d")
     return rows.join(prices, "m", "left").select("event_id", F.coalesce(cost, F.lit(0.0)).alias("cost"))
 
 
