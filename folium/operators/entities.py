@@ -19,16 +19,20 @@ def accepted_pairs(titles: DataFrame, generic: list[str]) -> DataFrame:
     each title is listed under its own set and under each of its sets less one, and the
     join is on equality.  No block of titles is paired with itself."""
     own = F.array_join(F.array_sort("toks"), " ")
-    rows = titles.where(F.size("toks") >= 2)
-    short = rows.where(F.size(F.array_except("toks", F.array(*map(F.lit, generic)))) > 0).select(F.col("id").alias("a"), own.alias("k"))
     less = F.transform("toks", lambda t: F.array_join(F.array_sort(F.array_remove(F.col("toks"), t)), " "))
-    long = rows.where(F.size("toks") >= 3).select(F.col("id").alias("b"), F.explode(less).alias("k"))
-    # Equal sets: every row hangs on the smallest of its set.
-    same = short.join(short.groupBy("k").agg(F.min("a").alias("b")), "k").where("a <> b").select("a", "b")
-    first = short.groupBy("k").agg(F.min("a").alias("a"))
-    # Both sides are cut first: the optimizer loses track of constraints over their union.
-    sides = [durable(x.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()) for x in (first.join(long, "k"), same)]
-    return sides[0].unionByName(sides[1])
+    telling = F.size(F.array_except("toks", F.array(*map(F.lit, generic)))) > 0
+    none = F.array().cast("array<string>")
+    rows = durable(
+        titles.where(F.size("toks") >= 2).select(
+            "id",
+            F.when(telling, own).alias("own"),
+            F.concat(F.when(telling, F.array(own)).otherwise(none), F.when(F.size("toks") >= 3, less).otherwise(none)).alias("keys"),
+        )
+    )
+    # Every row hangs on the smallest title of its own set and of each set less one.
+    heads = rows.where(F.col("own").isNotNull()).groupBy(F.col("own").alias("k")).agg(F.min("id").alias("u"))
+    listed = rows.select(F.col("id").alias("v"), F.explode("keys").alias("k"))
+    return heads.join(listed, "k").where("u <> v").select("u", "v").distinct()
 
 
 def clusters(titles: DataFrame, generic: list[str]) -> DataFrame:
