@@ -2,8 +2,8 @@
 
 1. quality classifier: rows scored below the threshold go;
 2. line dedup: lines frequent on their host go from every text (n_chars follows);
-3. SimHash near-dedup: of each group the row of the smallest id stays; rows without an
-   id stay, and rows that repeat the id that stays, stay with it;
+3. SimHash near-dedup: of each group exactly one row stays, of the smallest id; rows
+   without an id are in groups like any other and stay only where no row has an id;
 4. mixing: rows repeat as often as their fitted rate says, and none is lost while the
    targets shrink no domain;
 5. BPE encoding: the ids' digests of what is left, the last result.
@@ -37,10 +37,15 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     tune(spark)
-    found = simhash.near_duplicates(docs)
-    stays = found.where("doc_id = component_id").select(F.col("doc_id").alias("_stays")).distinct()
-    with_id = docs.where("doc_id is not null").join(stays, F.col("doc_id") == F.col("_stays"), "left_semi")
-    return with_id.unionByName(docs.where("doc_id is null"))
+    # Two hashes of all columns, nulls told apart, name a row; equal rows share a name.
+    parts = [x for c in docs.columns for x in (F.isnull(c), F.col(c))]
+    named = docs.withColumns({"_h": F.xxhash64(F.lit("row"), *parts), "_g": F.xxhash64(F.lit("name"), *parts)})
+    # The smallest key of a component is of its smallest id, and has no id only if none has.
+    key = F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").alias("id"), F.col("_h").alias("h"), F.col("_g").alias("g"))
+    found = simhash.near_duplicates(named.select(key.alias("_key"), "text"), "_key")
+    stays = found.select(F.col("component_id.h").alias("_h"), F.col("component_id.g").alias("_g")).distinct()
+    # Equal rows collapse before the exchange, so no key is hot in the join.
+    return named.dropDuplicates(["_h", "_g"]).join(stays, ["_h", "_g"], "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

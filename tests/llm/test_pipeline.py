@@ -5,6 +5,7 @@ import numpy as np
 import corpus_pipeline
 from folium.llm import bpe, lines, mixing, quality_model, simhash
 from folium.llm.common import documents
+from tests.llm.helpers import table
 
 
 def test_stages_against_brute_force(spark, data, tmp_path):
@@ -56,3 +57,19 @@ def test_stages_against_brute_force(spark, data, tmp_path):
         ids = encoder.encode(rows[4][r.doc_id].text)
         assert (r.n_tokens, r.ids_sha256) == (len(ids) // 4, hashlib.sha256(ids).hexdigest())
     assert np.isclose(steps[5].count(), steps[4].count())
+
+
+def test_near_dedup_keeps_one_row_of_each_group(spark, data):
+    texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}
+    rows = [
+        *[(None, texts["a"], "en", "s")] * 3,  # no ids, equal rows
+        (None, texts["b"], "en", "s"), (None, texts["b"], None, "s"), (None, texts["b"], "s", None),
+        *[(5, texts["c"], "en", "s")] * 4, (9, texts["c"], "en", "s"), (None, texts["c"], "en", "s"),
+        (5, texts["d"], "en", "s"), (2, texts["d"], "en", "s"),  # 5 survives in another group only
+        (5, texts["e"], "en", "s"),
+    ]
+    docs = table(spark, rows)
+    kept = corpus_pipeline.near_dedup_stage(spark, docs, data)
+    assert kept.columns == docs.columns
+    got = sorted(((r.doc_id, r.text[0]) for r in kept.collect()), key=lambda x: x[1])
+    assert got == [(None, "a"), (None, "b"), (5, "c"), (2, "d"), (5, "e")]
