@@ -168,6 +168,16 @@ def audit_sample(spark, sf_dir):
     return picked.withColumn("k", k).where(F.col("k") <= F.col("left")).select("note", "claim_idx", "label")
 
 
+@query("w23_audit_set")
+def audit_set(spark, sf_dir):
+    """All of W23: every claim of low cosine or unverified evidence, and the sample of each label.
+
+    The oracle SQL of w23_audit_sample holds the sample alone."""
+    always = (F.col("cosine") < 0.4) | F.array_contains("flags", "evidence_unverified")
+    must = decided(spark, sf_dir).where(always).select("note", "claim_idx", "label")
+    return must.unionByName(audit_sample(spark, sf_dir)).distinct()
+
+
 @query("f22_wilson_interval", """WITH c AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS h FROM documents JOIN labels USING (doc_id) GROUP BY lang)
 SELECT lang, greatest(0.0, round((p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) - 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n), 3)) AS lo,
   least(1.0, round((p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) + 1.96 * sqrt(p * (1 - p) / n + 3.8416 / (4.0 * n * n)) / (1 + 3.8416 / n), 3)) AS hi

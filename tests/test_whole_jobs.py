@@ -22,3 +22,13 @@ def test_search_meets_all_vectors(spark, data, monkeypatch):
         want |= {(q, c, k, round(-d, 8)) for k, (d, c) in enumerate(top, 1) if k <= 2 or -d >= best[q] - 0.05}
     assert {(r.q, r.c, r.k, round(r.cosine, 8)) for r in run(spark, data, "j11_claim_retrieval_all")} == want
     assert {r.q: round(r.best, 8) for r in run(spark, data, "j13_max_cosine_all")} == {q: round(b, 8) for q, b in best.items()}
+
+
+def test_audit_takes_all_doubtful_claims(spark, data):
+    from folium.plans.evaluation import decided
+
+    claims = decided(spark, data).collect()
+    must = {(r.note, r.claim_idx, r.label) for r in claims if r.cosine < 0.4 or "evidence_unverified" in r.flags}
+    sample = {tuple(r) for r in run(spark, data, "w23_audit_sample")}
+    got = [tuple(r) for r in run(spark, data, "w23_audit_set")]
+    assert must - sample and len(got) == len(set(got)) and set(got) == must | sample
