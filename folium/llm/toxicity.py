@@ -312,7 +312,7 @@ class Network:
             tokens = (text or "").split()
             if len(self.memo) + len(tokens) > KEPT_WORDS:
                 flush()  # rows of held windows would go with the table
-            for ids in self._pieces(tokens):
+            for ids in self._pieces(tokens, flush):
                 at = windows_of(len(ids))
                 held.append(np.where(at >= 0, ids[at] if len(ids) else 0, 0))
                 owners.append(np.full(len(at), k))
@@ -322,15 +322,19 @@ class Network:
         flush()
         return _sigmoid(out)
 
-    def _pieces(self, tokens: list[str]):
+    def _pieces(self, tokens: list[str], flush):
         """A text's gate rows; a text with more words than the table holds comes in
-        overlapping pieces of whole strides, so no window is lost."""
+        overlapping pieces of whole strides, so no window is lost.  Windows count kept
+        words, hence so do strides and overlap; held windows are scored (``flush``)
+        before the table goes."""
         size = KEPT_WORDS // 2 // STRIDE * STRIDE
         if len(tokens) <= size:
             yield self._known(tokens)
             return
-        for at in range(0, len(tokens), size):
+        tokens = [t for t in tokens if clean_word(t)]
+        for at in range(0, max(len(tokens) - WINDOW, 1), size):
             if at:
+                flush()
                 self._reset()
             yield self._known(tokens[at : at + size + WINDOW])
 

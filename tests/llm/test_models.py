@@ -111,3 +111,14 @@ def test_toxicity_table_overflow(monkeypatch):
     monkeypatch.setattr(toxicity, "KEPT_WORDS", 128)
     small = toxicity.Network(net.p, net.z)
     assert np.allclose(small.score(texts), want, atol=1e-5)
+
+
+def test_toxicity_pieces_with_symbols(monkeypatch):
+    rows = [(f"a{i} b{i} {'bad' if i % 2 else 'fine'} c", i % 2) for i in range(40)]
+    net = toxicity.fit(rows)
+    words = [f"w{i}" for i in range(90)]
+    texts = [" ".join(["bad", *("| - *".split() * 60), *words[:k], *("| - *".split() * 40), *words[k:]]) for k in range(0, 90, 10)]
+    want = net.score(texts)
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 160)
+    small = toxicity.Network(net.p, net.z)
+    assert np.allclose(small.score(texts), want, atol=1e-5)
