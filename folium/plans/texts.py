@@ -260,6 +260,15 @@ def marked_text(spark, sf_dir):
     return rows.select("source", F.sha2(F.array_join(F.transform("p", lambda x: x["m"]), ""), 256).alias("h"))
 
 
+@query("s7_marked_pages")
+def marked_pages(spark, sf_dir):
+    """Every page of a source after its marker, with its order and digest; no source is gathered.
+
+    The oracle SQL of s7_marked_text holds short pages only."""
+    marked = F.concat(F.lit("\n\n[S. "), F.col("doc_id"), F.lit("]\n\n"), F.coalesce("text", F.lit("")))
+    return docs(spark, sf_dir, "source", "text").select("source", "doc_id", marked.alias("marked"), F.sha2(marked, 256).alias("h"))
+
+
 @query("w26_page_marker_asof", r"""WITH m AS (SELECT doc_id, pos, ln FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents) , LATERAL (SELECT ln * 10 AS pos)),
 q AS (SELECT doc_id, unnest([15, 42, 77, 200]) AS at FROM documents)
 SELECT q.doc_id, q.at, max(m.ln) AS page FROM q LEFT JOIN m ON m.doc_id = q.doc_id AND m.pos <= q.at GROUP BY q.doc_id, q.at""")

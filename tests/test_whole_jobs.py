@@ -32,3 +32,13 @@ def test_audit_takes_all_doubtful_claims(spark, data):
     sample = {tuple(r) for r in run(spark, data, "w23_audit_sample")}
     got = [tuple(r) for r in run(spark, data, "w23_audit_set")]
     assert must - sample and len(got) == len(set(got)) and set(got) == must | sample
+
+
+def test_marked_pages_are_all_pages(spark, data):
+    import hashlib
+
+    rows = table(spark, data, "documents").collect()
+    want = sorted((r.doc_id, f"\n\n[S. {r.doc_id}]\n\n{r.text or ''}") for r in rows)
+    got = run(spark, data, "s7_marked_pages")
+    assert sorted((r.doc_id, r.marked) for r in got) == want and any(len(m) > 500 for _, m in want)
+    assert all(r.h == hashlib.sha256(r.marked.encode()).hexdigest() for r in got)
