@@ -75,6 +75,14 @@ def concept_lookup(spark, sf_dir):
     return rows.select("p_partkey", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("path"))
 
 
+@query("j1_concept_lookup_all")
+def concept_lookup_all(spark, sf_dir):
+    """j1_concept_lookup with every part as an entry (its oracle SQL takes p_size > 48)."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("key"))
+    keys = part.groupBy("key").agg(F.min("p_partkey").alias("lo"), F.max("p_partkey").alias("hi"))
+    return part.join(keys, "key", "left").select("p_partkey", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("path"))
+
+
 @query(
     "j10_link_rewrite",
     """WITH m AS (SELECT doc_id, 'merged-' || doc_id AS target FROM documents WHERE doc_id % 3 = 0), r AS (SELECT doc_id, unnest([doc_id + 1, doc_id + 2, doc_id + 3]) AS link, unnest([1, 2, 3]) AS pos FROM documents)

@@ -277,6 +277,15 @@ def caption_range(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", (1 + F.col("doc_id") % 55).alias("page")).join(first, "page", "left").select("doc_id", "page", "chunk")
 
 
+@query("j22_caption_range_all")
+def caption_range_all(spark, sf_dir):
+    """j22_caption_range over all parts (its oracle SQL takes every tenth)."""
+    p = table(spark, sf_dir, "part")
+    by_page = p.select(F.col("p_partkey").alias("chunk"), F.explode(F.sequence("p_size", F.col("p_size") + 3)).alias("page"))
+    first = by_page.groupBy(F.col("page").cast("long").alias("page")).agg(F.min("chunk").alias("chunk"))
+    return table(spark, sf_dir, "documents").select("doc_id", (1 + F.col("doc_id") % 55).alias("page")).join(first, "page", "left").select("doc_id", "page", "chunk")
+
+
 @query(
     "j21_figure_bind",
     """WITH n AS (SELECT doc_id % 97 AS page, count(*) AS k, min(doc_id) AS note FROM documents WHERE lang = 'fr' GROUP BY 1), f AS (SELECT item_id, item_id % 97 AS page FROM benchmark)

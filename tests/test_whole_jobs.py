@@ -42,3 +42,14 @@ def test_marked_pages_are_all_pages(spark, data):
     got = run(spark, data, "s7_marked_pages")
     assert sorted((r.doc_id, r.marked) for r in got) == want and any(len(m) > 500 for _, m in want)
     assert all(r.h == hashlib.sha256(r.marked.encode()).hexdigest() for r in got)
+
+
+def test_lookups_read_all_parts(spark, data):
+    parts = table(spark, data, "part").collect()
+    names = {}
+    for p in parts:
+        names.setdefault(p.p_name.lower(), set()).add(p.p_partkey)
+    want = {p.p_partkey: p.p_partkey if len(names[p.p_name.lower()]) == 1 else None for p in parts}
+    assert {r.p_partkey: r.path for r in run(spark, data, "j1_concept_lookup_all")} == want
+    for r in run(spark, data, "j22_caption_range_all"):
+        assert r.chunk == min((p.p_partkey for p in parts if p.p_size <= r.page <= p.p_size + 3), default=None)
