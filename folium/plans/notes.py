@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folium.functions import text as T
 from folium.plans.registry import Registry
 from folium.sources.claims import RUNS_SQL, runs
 from folium.sources.tables import table
@@ -140,6 +141,19 @@ def sentence_key(spark, sf_dir):
     return docs(spark, sf_dir, "text").select("doc_id", F.lower(F.trim(F.regexp_replace(t, r"\s+", " "))).alias("k"))
 
 
+def sentence_rows(spark, sf_dir):
+    """Every sentence of a text with its place; every third text ends with an anchor."""
+    t = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, " (S. 5)").otherwise(""))
+    return docs(spark, sf_dir, "source", "text").select("doc_id", "source", F.posexplode(T.sentences(t)).alias("pos", "s"))
+
+
+@query("f3_sentence_key_all")
+def sentence_key_all(spark, sf_dir):
+    """The key of every whole sentence (the oracle SQL of f3_sentence_key cuts texts at 200 characters)."""
+    bare = F.regexp_replace("s", r"\(S\. \d+(-\d+)?\)", "")
+    return sentence_rows(spark, sf_dir).select("doc_id", "pos", F.lower(F.trim(F.regexp_replace(bare, r"\s+", " "))).alias("k"))
+
+
 @query("f10_pdf_normalise", r'''SELECT doc_id, md5(trim(regexp_replace(translate(regexp_replace(text, '(\w)-\n(\w)', '\1\2', 'g'), '„“”', '"""'), '\s+', ' ', 'g'), ' ')) AS h FROM documents''')
 def pdf_normalise(spark, sf_dir):
     """Hyphens at line ends join, quotes fold, white space collapses."""
@@ -169,6 +183,15 @@ def cell_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", c.alias("c"))
 
 
+@query("f68_cell_escape_all")
+def cell_escape_all(spark, sf_dir):
+    """Whole pages as cells (the oracle SQL of f68_cell_escape cuts them at 200 characters)."""
+    c = F.col("html")
+    for a, b in (("\\", "\\\\"), ("|", "\\|"), ("\n", " ")):
+        c = F.replace(c, F.lit(a), F.lit(b))
+    return table(spark, sf_dir, "pages").select("page_id", c.alias("c"))
+
+
 @query("f83_context_pool", "SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY first) AS k FROM (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id, role) AS first FROM conversations)")
 def context_pool(spark, sf_dir):
     """Numbers of distinct contexts (here: roles) in the order of first use."""
@@ -219,6 +242,13 @@ def anchor_rate(spark, sf_dir):
     return docs(spark, sf_dir, "source", "text").groupBy("source").agg(F.round(F.avg(hit), 6).alias("rate"))
 
 
+@query("a40_anchor_rate_all")
+def anchor_rate_all(spark, sf_dir):
+    """The share of a source's sentences with an anchor (the oracle SQL of a40_anchor_rate reads 100 characters)."""
+    hit = F.when(F.col("s").rlike(r"\(S\. \d+(-\d+)?\)"), 1.0).otherwise(0.0)
+    return sentence_rows(spark, sf_dir).groupBy("source").agg(F.round(F.avg(hit), 6).alias("rate"))
+
+
 @query("f94_yes_no", "SELECT p_partkey, p_size % 6 < 5 AS yes FROM part")
 def yes_no(spark, sf_dir):
     given = F.element_at(F.array(*map(F.lit, ["true", "YES", "1", " t ", "y", "no"])), (F.col("p_size") % 6 + 1).cast("int"))

@@ -53,3 +53,25 @@ def test_lookups_read_all_parts(spark, data):
     assert {r.p_partkey: r.path for r in run(spark, data, "j1_concept_lookup_all")} == want
     for r in run(spark, data, "j22_caption_range_all"):
         assert r.chunk == min((p.p_partkey for p in parts if p.p_size <= r.page <= p.p_size + 3), default=None)
+
+
+def test_keys_cells_and_anchors_read_whole_texts(spark, data):
+    import re
+
+    from folium.plans.notes import sentence_rows
+
+    pages = {r.page_id: r.html.replace("\\", "\\\\").replace("|", "\\|").replace("\n", " ") for r in table(spark, data, "pages").collect()}
+    assert {r.page_id: r.c for r in run(spark, data, "f68_cell_escape_all")} == pages and max(map(len, pages.values())) > 200
+    rows = sentence_rows(spark, data).collect()
+    keys = {(r.doc_id, r.pos): r.k for r in run(spark, data, "f3_sentence_key_all")}
+    anchor = re.compile(r"\(S\. \d+(-\d+)?\)")
+    hits, held = {}, {}
+    for r in rows:
+        assert "".join(keys[r.doc_id, r.pos].split()) == "".join(anchor.sub("", r.s).lower().split())
+        hits.setdefault(r.source, []).append(bool(anchor.search(r.s)))
+        held[r.doc_id] = held.get(r.doc_id, "") + r.s
+    for r in table(spark, data, "documents").collect():
+        whole = (r.text or "") + (" (S. 5)" if r.doc_id % 3 == 0 else "")
+        assert "".join(held.get(r.doc_id, "").split()) == "".join(whole.split())
+    got = {r.source: r.rate for r in run(spark, data, "a40_anchor_rate_all")}
+    assert got == {k: round(sum(v) / len(v), 6) for k, v in hits.items()} and max(got.values()) > 0
