@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from folium.operators.durable import durable, shared_dir
 
-__all__ = ["documents", "durable", "held_out", "shared_dir", "text_of", "training_rows", "tune"]
+__all__ = ["documents", "durable", "fresh", "held_out", "shared_dir", "text_of", "training_rows", "tune"]
 
+#: Characters of a text that a model is fitted on, at most; longer ones are scored only.
+LONGEST = 65_536
 #: Documents of one Arrow batch; bounds what a Python worker holds at a time.
 ARROW_ROWS = 500
 
@@ -19,6 +21,18 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of the table has them."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def text_of(col: str = "text") -> Column:
     """A text column with null read as empty."""
     return F.coalesce(F.col(col), F.lit(""))
@@ -40,9 +54,11 @@ def training_rows(
     per_class: int | tuple[int, int],
     id_col: str = "doc_id",
     text_col: str = "text",
+    longest: int = LONGEST,
 ) -> list[tuple[str, int]]:
     """A bounded labelled sample: at most ``per_class`` rows of either label, or of
-    labels 0 and 1 where two bounds are given.
+    labels 0 and 1 where two bounds are given.  A chosen row whose text has more than
+    ``longest`` characters is not learned from, so the driver's memory is bounded, too.
 
     Held-out ids, null labels and null ids are left out before the choice, which
     takes the smallest hashes of the id, so it is the same for any partitioning.
@@ -64,6 +80,7 @@ def training_rows(
     chosen = F.broadcast(chosen)
     rows = (
         docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_t"))
+        .where(F.char_length("_t") <= longest)
         .join(chosen, "_id")
         .orderBy("_h", "_id", F.xxhash64("_t"))
         .limit(sum(bounds))

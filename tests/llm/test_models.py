@@ -52,7 +52,7 @@ def test_training_rows_are_bounded_and_not_held_out(spark):
 def test_network_gradients():
     p = toxicity.new_parameters(1)
     rng = np.random.default_rng(2)
-    x = rng.normal(size=(9, 2 * toxicity.EMBED + 2))
+    x = rng.normal(size=(9, 2 * toxicity.EMBED))
     ids = rng.integers(1, 9, (5, 6))
     ids[0, 3:] = 0
     y, weight = np.array([0, 1, 0, 1, 1.0]), np.full(5, 0.2)
@@ -103,22 +103,80 @@ def test_toxicity_finds_a_lexicon(spark):
     assert len(out) == len(helpers.AWKWARD) and all(0 <= r.score <= 1 for r in out)
 
 
+def small_network():
+    rows = [(f"a{i % 9} b{i % 7} {'bad' if i % 2 else 'fine'} c", i % 2) for i in range(40)]
+    return toxicity.fit(rows)
+
+
+def fresh(net):
+    return toxicity.Network(net.p, net.rows)
+
+
+def plain_score(net, text):
+    """The score by loops over windows, time steps and units, in double precision."""
+    p = {k: v.astype(float) for k, v in net.p.items()}
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    words = [w for w in map(toxicity.clean_word, text.split()) if w]
+    inputs = []
+    for w in words:
+        [(_, (whole, parts))] = toxicity.hash_words([w])
+        grams = net.rows[1].find(parts)[:, 0]
+        inputs.append(np.concatenate([p["Ew"][net.rows[0].find(whole)[0]], np.maximum(0, np.max([p["Ec"][g] for g in grams], axis=0))]))
+    best = -np.inf
+    for at in toxicity.windows_of(len(words)):
+        seen = [inputs[i] for i in at if i >= 0]
+        h, states = toxicity.HIDDEN, {}
+        for side in "fb":
+            state, out = np.zeros(h), []
+            for x in seen if side == "f" else seen[::-1]:
+                gate, rec = x @ p[f"W{side}"] + p[f"b{side}"], state @ p[f"U{side}"]
+                new = np.empty(h)
+                for u in range(h):
+                    z, r = sig(gate[u] + rec[u]), sig(gate[h + u] + rec[h + u])
+                    new[u] = z * state[u] + (1 - z) * np.tanh(gate[2 * h + u] + r * rec[2 * h + u])
+                state = new
+                out.append(new)
+            states[side] = out if side == "f" else out[::-1]
+        both = [np.concatenate(x) for x in zip(states["f"], states["b"], strict=True)] or [np.zeros(2 * h)]
+        energy = np.array([np.tanh(s @ p["Wa"] + p["ba"]) @ p["va"] for s in both])
+        share = np.exp(energy) / np.exp(energy).sum()
+        best = max(best, sum(a * s for a, s in zip(share, both, strict=True)) @ p["wo"] + p["bo"][0])
+    return sig(best)
+
+
+def test_toxicity_scores_equal_plain_loops():
+    net = small_network()
+    rng = np.random.default_rng(5)
+    pool = ["bad", "fine", "c", "a1", "b2", "|", "Été!", "日本", "x" * 40, *(f"w{i}" for i in range(30))]
+    texts = ["", " | - ", "bad", *(" ".join(rng.choice(pool, n)) for n in (1, 3, 15, 16, 17, 31, 100))]
+    assert np.allclose(net.score(texts), [plain_score(net, t) for t in texts], atol=1e-5)
+
+
 def test_toxicity_table_overflow(monkeypatch):
-    rows = [(f"a{i} b{i} {'bad' if i % 2 else 'fine'} c", i % 2) for i in range(40)]
-    net = toxicity.fit(rows)
+    net = small_network()
     texts = [" ".join(f"t{k}{i}" for i in range(50)) + (" bad" if k % 2 else "") for k in range(12)]
     want = net.score(texts)
     monkeypatch.setattr(toxicity, "KEPT_WORDS", 128)
-    small = toxicity.Network(net.p, net.z)
-    assert np.allclose(small.score(texts), want, atol=1e-5)
+    monkeypatch.setattr(toxicity, "GROUP", 64)
+    assert np.allclose(fresh(net).score(texts), want, atol=1e-5)
 
 
 def test_toxicity_pieces_with_symbols(monkeypatch):
-    rows = [(f"a{i} b{i} {'bad' if i % 2 else 'fine'} c", i % 2) for i in range(40)]
-    net = toxicity.fit(rows)
+    net = small_network()
     words = [f"w{i}" for i in range(90)]
     texts = [" ".join(["bad", *("| - *".split() * 60), *words[:k], *("| - *".split() * 40), *words[k:]]) for k in range(0, 90, 10)]
     want = net.score(texts)
     monkeypatch.setattr(toxicity, "KEPT_WORDS", 160)
-    small = toxicity.Network(net.p, net.z)
-    assert np.allclose(small.score(texts), want, atol=1e-5)
+    monkeypatch.setattr(toxicity, "GROUP", 40)
+    assert np.allclose(fresh(net).score(texts), want, atol=1e-5)
+
+
+def test_toxicity_very_long_symbol_text(monkeypatch):
+    net = small_network()
+    long = " ".join(f"w{i} | - |" for i in range(30_000))  # 120,000 tokens
+    texts = [long, long + " bad bad", "bad " + long]
+    got = net.score(texts)
+    monkeypatch.setattr(toxicity, "GROUP", 1 << 18)  # every text in one piece
+    monkeypatch.setattr(toxicity, "KEPT_WORDS", 1 << 18)
+    assert np.allclose(fresh(net).score(texts), got, atol=1e-5)
+    assert got[1] > got[0]
