@@ -77,3 +77,28 @@ def valid_input(primary: Column, cosine: Column, evidence: Column, parse_failed:
         & cosine.between(0.0, 1.0)
         & ~(parse_failed & evidence.isNotNull())
     )
+
+
+def overrides(audit: Column, label: Column) -> Column:
+    """Whether an audit label is stricter than a label; a system label on either side never is."""
+    return F.coalesce(strictness(audit) > strictness(label), F.lit(False))
+
+
+def parse_error_rule(parse_failed: Column) -> Column:
+    """The label of the first terminal rule, null where it does not apply."""
+    return F.when(parse_failed, "parse_error")
+
+
+def low_cosine_rule(cosine: Column) -> Column:
+    """The label of the second terminal rule, null where it does not apply."""
+    return F.when(cosine < LOW_COSINE, "retrieval_or_parse_uncertain")
+
+
+def default_rule(primary: Column) -> Column:
+    """struct(label, source) where no other rule applies."""
+    return F.struct(primary.alias("label"), F.when(is_system(primary), "system").otherwise("primary").alias("source"))
+
+
+def metric_key(label: Column) -> Column:
+    """The name under which a label is counted: its own; an unknown label is an error."""
+    return F.when(label.isin(LABELS), label).otherwise(F.raise_error(F.concat(F.lit("unknown label "), label)).cast("string"))

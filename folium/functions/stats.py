@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNMEASURED = -1.0
@@ -15,6 +15,19 @@ def guarded_rate(n: Column, d: Column, digits: int = 3) -> Column:
     return F.when(d == 0, UNMEASURED).otherwise(F.bround(n / F.nullif(d, F.lit(0)), digits))
 
 
+def metric(n: Column, d: Column, digits: int = 3) -> Column:
+    """struct(value, valid) of a guarded rate."""
+    return F.struct(guarded_rate(n, d, digits).alias("value"), (d != 0).alias("valid"))
+
+
+def routing_summary(drafts: DataFrame, *keys: str) -> DataFrame:
+    """Drafts by destination: vault, inbox, and unresolved where there is none."""
+    goes = F.col("destination")
+    return drafts.groupBy(*keys).agg(
+        F.count_if(goes == "vault").alias("vault"), F.count_if(goes == "inbox").alias("inbox"), F.count_if(goes.isNull()).alias("unresolved")
+    )
+
+
 def wilson(successes: Column, total: Column, z: float = 1.96) -> Column:
     """struct(lo, hi) of the Wilson score interval, three digits, (0, 0) without data."""
     n = F.nullif(total, F.lit(0)).cast("double")
