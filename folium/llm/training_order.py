@@ -11,13 +11,17 @@ raw records of ``STRIDE`` bytes:
 so byte (s mod SHARD_ROWS) * STRIDE of its shard starts slot s, and a reader that stopped
 after s records resumes there.  Spark's own writer commits the files, on any file system.
 
-Sequences are numbered by input partition and place in it: a first pass counts each
-partition's sequences (one number per task), a second encodes again and numbers.  The
-input must therefore be a table scan or a checkpoint, whose partitions repeat.
+Sequences are numbered by file, row of the file and place in the text, so the order
+depends on the input's files alone, not on split size, cores or task order.  A first
+pass counts the sequences of each run of rows (one number per file and task), a second
+encodes again and numbers.  Storing the ids between the passes would take more disk
+than the shards.  A table that is no file scan is numbered by partition and row
+instead, and must then be one whose partitions repeat, such as a checkpoint.
 
 Defined cases: null and empty texts have no sequence; a null id is written as the least
-long; repeated rows have sequences of their own; an empty table writes no shard and
-gives an empty index; further columns are ignored.
+long; repeated rows have sequences of their own; an id over 65,535 of another codec is an
+error; an empty table writes no shard and gives an empty index; columns besides the id and
+the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,6 +92,8 @@ class TokenIds:
 def records(doc_id: int | None, ids: bytes) -> np.ndarray:
     """The records of one text from its ids (unsigned 32-bit, little-endian)."""
     flat = np.frombuffer(ids, dtype="<u4")
+    if len(flat) and flat.max() > 65_535:
+        raise ValueError("a record holds ids of 16 bits")
     n = -(-len(flat) // LENGTH)
     out = np.zeros(n, dtype=RECORD)
     padded = np.full(n * LENGTH, PAD, dtype="<u2")
@@ -100,24 +107,49 @@ def records(doc_id: int | None, ids: bytes) -> np.ndarray:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t"))
+    """(_id, _t, _file, _at): file and row of a file scan, else an empty name and null."""
+    columns = [F.col(id_col).cast("long").alias("_id"), text_of(text_col).alias("_t")]
+    try:
+        return docs.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    except AnalysisException:
+        return docs.select(*columns, F.lit("").alias("_file"), F.lit(None).cast("long").alias("_at"))
 
 
-def partition_counts(docs: DataFrame, codec: TokenIds, id_col: str, text_col: str) -> dict[int, int]:
-    """Sequences of each input partition: one number per task."""
+def _runs(b: pa.RecordBatch) -> Iterator[tuple[str, int, int, int]]:
+    """(file, row, begin, end) of the parts of a batch that lie in one file each."""
+    files = b.column(2).to_pylist()
+    begin = 0
+    for k in range(1, len(files) + 1):
+        if k == len(files) or files[k] != files[begin]:
+            row = b.column(3)[begin].as_py()
+            yield files[begin], TaskContext.get().partitionId() if row is None else row, begin, k
+            begin = k
+
+
+def run_counts(docs: DataFrame, codec: TokenIds, id_col: str, text_col: str) -> list[tuple[str, int, int]]:
+    """(file, first row, sequences) of each run: one row per file and task."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, n = codec.encoder(), 0
+        encoder, found = codec.encoder(), []
         for b in batches:
             texts = b.column(1).to_pylist()
-            # An id covers a byte at least, so a text of LENGTH bytes is one sequence.
-            short = [len(t) <= LENGTH and len(t.encode("utf-8", "surrogatepass")) <= LENGTH for t in texts]
-            n += sum(1 for t, s in zip(texts, short, strict=True) if s and t)
-            for ids in encoder.encode_batch([t for t, s in zip(texts, short, strict=True) if not s]):
-                n += -(-len(ids) // (4 * LENGTH))
-        yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int32()), "n": pa.array([n], pa.int64())})
+            for file, row, begin, end in _runs(b):
+                part = texts[begin:end]
+                # An id covers a byte at least, so a text of LENGTH bytes is one sequence.
+                short = [len(t) <= LENGTH and len(t.encode("utf-8", "surrogatepass")) <= LENGTH for t in part]
+                n = sum(1 for t, s in zip(part, short, strict=True) if s and t)
+                for ids in encoder.encode_batch([t for t, s in zip(part, short, strict=True) if not s]):
+                    n += -(-len(ids) // (4 * LENGTH))
+                if found and found[-1][0] == file:
+                    found[-1][2] += n
+                else:
+                    found.append([file, row, n])
+        yield pa.RecordBatch.from_pylist(
+            [{"file": f, "row": r, "n": n} for f, r, n in found],
+            schema=pa.schema([("file", pa.string()), ("row", pa.int64()), ("n", pa.int64())]),
+        )
 
-    return dict(map(tuple, _rows(docs, id_col, text_col).mapInArrow(count, "part int, n long").collect()))
+    return sorted(map(tuple, _rows(docs, id_col, text_col).mapInArrow(count, "file string, row long, n long").collect()))
 
 
 def materialise(
@@ -132,25 +164,34 @@ def materialise(
     """Write the shards under ``path``; returns it and the number of sequences."""
     spark = docs.sparkSession
     path = path or f"{shared_dir(spark)}/training-order-{uuid.uuid4().hex}"
-    counts = partition_counts(docs, codec, id_col, text_col)
-    first, total = {}, 0
-    for part in sorted(counts):
-        first[part], total = total, total + counts[part]
+    starts, total = {}, 0
+    for file, row, n in run_counts(docs, codec, id_col, text_col):
+        starts[file, row], total = total, total + n
     if not total:
         return path, 0
+    # One number for each file and task, sent to a worker once.
+    first = spark.sparkContext.broadcast(starts)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, at = codec.encoder(), first.get(TaskContext.get().partitionId(), 0)
+        encoder, file, at = codec.encoder(), None, 0
         for b in batches:
-            made = [records(i, ids) for i, ids in zip(b.column(0).to_pylist(), encoder.encode_batch(b.column(1).to_pylist()), strict=True)]
-            flat = np.concatenate(made) if made else np.zeros(0, dtype=RECORD)
+            made, rows = [np.zeros(0, dtype=RECORD)], [np.zeros(0, dtype=np.int64)]
+            texts, owners = b.column(1).to_pylist(), b.column(0).to_pylist()
+            for name, row, begin, end in _runs(b):
+                if name != file:
+                    file, at = name, first.value[name, row]
+                part = [records(i, ids) for i, ids in zip(owners[begin:end], encoder.encode_batch(texts[begin:end]), strict=True)]
+                size = sum(map(len, part))
+                rows.append(np.arange(at, at + size))
+                made += part
+                at += size
+            flat = np.concatenate(made)
             n = len(flat)
             # The record's own newline is left to the writer's line separator.
             body = flat.view(np.uint8).reshape(n, STRIDE)[:, :-1] if n else np.zeros((0, STRIDE - 1), dtype=np.uint8)
             offsets = pa.py_buffer((np.arange(n + 1) * (STRIDE - 1)).astype(np.int32))
             data = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(body))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(at, at + n), pa.int64()), data], ["row", "record"])
-            at += n
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows), pa.int64()), data], ["row", "record"])
 
     shards = -(-total // shard_rows)
     ranges = min(MAX_RANGES, shards)

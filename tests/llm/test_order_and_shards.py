@@ -83,6 +83,38 @@ def test_training_order_round_trip(spark, tmp_path):
     assert zlib.crc32(record["ids"].tobytes()) == r.ids_crc32 and record["end"] == 10
 
 
+def test_training_order_numbers_by_file_and_row(spark, data, tmp_path):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    encoder = training_order.TokenIds(spark).encoder()
+    rows = sorted((r.f, r.k, r.doc_id, r.text) for r in docs.select("doc_id", "text", F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("k")).collect())
+    sequences = []
+    for _, _, i, text in rows:
+        sequences += [(i, k) for k in range(len(training_order.records(i, encoder.encode_batch([text])[0])))]
+    n = len(sequences)
+    want = {(i, k, feistel.permute_number(g, n, training_order.KEY)) for g, (i, k) in enumerate(sequences)}
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("64m", "60k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            again = spark.read.parquet(f"{data}/documents.parquet")
+            got = {(r.doc_id, r.seq_no, r.slot) for r in training_order.training_order(again).collect()}
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert got == want
+
+
+def test_training_order_of_a_table_that_is_no_scan(spark):
+    docs = helpers.table(spark)  # with clashing columns
+    index = training_order.training_order(docs).collect()
+    assert sorted(r.slot for r in index) == list(range(len(index)))
+    assert {r.doc_id for r in index} == {1, 4, 5, None, 7, 8, 9}
+
+
+def test_training_order_refuses_wide_ids():
+    with pytest.raises(ValueError):
+        training_order.records(1, np.array([1, 70_000], dtype="<u4").tobytes())
+
+
 def test_training_order_empty(spark):
     assert training_order.training_order(helpers.empty(spark)).collect() == []
 
