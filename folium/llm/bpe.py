@@ -10,13 +10,14 @@ ranked merges of the vocabulary, so the result never depends on what is in it.
 
 Frequent words come from the whole corpus: each task keeps a summary of ``SUMMARY``
 counters (every word with over 1/``SUMMARY`` of the task's words survives), the summaries
-are added, and the top ``LEXICON`` are compiled.
+are added, and those above the least count that at most ``LEXICON`` exceed are compiled.
 
 Decoding looks the bytes of every id up and joins them.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; the
 vocabulary's added token is one id where its string occurs in a text; repeated rows
-encode alike; an empty table gives an empty result; further columns are ignored.
+encode alike; a text of any length is encoded whole; an empty table gives an empty
+result; columns besides the id and the text are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folium.llm.common import text_of
@@ -47,7 +48,7 @@ AT_A_TIME = 1 << 20
 #: White space of Unicode, as the pattern's \s means it.
 _WS = "\t-\r \x85\xa0  -     　"
 _CLOSERS = frozenset(".,;:!?")
-_PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
+PIECE = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
@@ -326,6 +327,16 @@ class Transducer:
         return self.out[self.first[k] : self.first[k + 1]]
 
 
+def plain_words(piece: str) -> list[str] | None:
+    """Words of a piece of the two common shapes, which need no pattern; else None."""
+    body = piece[1:] if piece[0] == " " else piece
+    if body.isalpha():
+        return [piece]
+    if body[-1:] in _CLOSERS and body[:-1].isalpha():
+        return [piece[:-1], piece[-1]]
+    return None
+
+
 class Encoder:
     """Encodes and decodes whole texts; holds a bounded memo of pieces."""
 
@@ -357,23 +368,17 @@ class Encoder:
             self.memo[p] = ids[c[0]] if len(c) == 1 else b"".join([ids[w] for w in c])
 
     def _cut(self, piece: str) -> list[str]:
-        """Words of a piece; the two common shapes need no pattern."""
-        body = piece[1:] if piece[0] == " " else piece
-        if body.isalpha():
-            return [piece]
-        if body[-1:] in _CLOSERS and body[:-1].isalpha():
-            return [piece[:-1], piece[-1]]
-        return self.words.findall(piece)
+        return plain_words(piece) or self.words.findall(piece)
 
     def _parts(self, text: str) -> list:
         """A text as piece lists and the added tokens between them."""
         if self.added is None or not self.added.search(text):
-            return [_PIECE.findall(text)]
+            return [PIECE.findall(text)]
         out, at = [], 0
         for m in self.added.finditer(text):
-            out += [_PIECE.findall(text[at : m.start()]), np.asarray([self.v.added[m[0]]], dtype="<u4").tobytes()]
+            out += [PIECE.findall(text[at : m.start()]), np.asarray([self.v.added[m[0]]], dtype="<u4").tobytes()]
             at = m.end()
-        return [*out, _PIECE.findall(text[at:])]
+        return [*out, PIECE.findall(text[at:])]
 
     def encode_many(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers.
@@ -423,7 +428,7 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text in batch.column(0):
-            counts.update(_PIECE.findall(text.as_py()))
+            counts.update(PIECE.findall(text.as_py()))
             if len(counts) > 4 * SUMMARY:
                 lower()
     if len(counts) > SUMMARY:
@@ -434,17 +439,16 @@ def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def frequent_words(docs: DataFrame, size: int = LEXICON, text_col: str = "text") -> list[str]:
-    """The pieces that the summaries count most, ``size`` at most."""
-    top = (
-        docs.select(text_of(text_col).alias("_t"))
-        .mapInArrow(_summaries, "piece string, n long")
-        .groupBy("piece")
-        .agg(F.sum("n").alias("n"))
-        .orderBy(F.desc("n"), "piece")
-        .limit(size)
-        .collect()
-    )
-    return [r["piece"] for r in top]
+    """The pieces that the summaries count most, ``size`` at most.
+
+    The cut is made on counts: a histogram of them (some hundred cells, eight to an octave) gives
+    the least count that at most ``size`` pieces reach, so tasks return those pieces alone."""
+    summed = docs.select(text_of(text_col).alias("_t")).mapInArrow(_summaries, "piece string, n long")
+    summed = summed.groupBy("piece").agg(F.sum("n").alias("n"))
+    cells = summed.groupBy(F.floor(8 * F.log2("n")).alias("c")).agg(F.count("*").alias("k"), F.min("n").alias("least"))
+    above = cells.select("least", F.sum("k").over(Window.orderBy(F.desc("c"))).alias("k"))
+    cut = above.where(F.col("k") <= size).agg(F.min("least").alias("cut"))  # one row
+    return sorted(r["piece"] for r in summed.join(F.broadcast(cut), F.col("n") >= F.col("cut")).select("piece").collect())
 
 
 def build_transducer(vocabulary: Vocabulary, pieces: list[str]) -> Transducer:
@@ -468,8 +472,14 @@ class Codec:
         self.shared = docs.sparkSession.sparkContext.broadcast((content, built.dump()))
 
     def encoder(self) -> Encoder:
+        """The encoder of this worker, built once for all its tasks."""
         content, compiled = self.shared.value
-        return Encoder(Vocabulary(content), Transducer.mapped(compiled))
+        held = Codec._held
+        if held is None or held[0] != content or held[1] != compiled:
+            held = Codec._held = (content, compiled, Encoder(Vocabulary(content), Transducer.mapped(compiled)))
+        return held[2]
+
+    _held: tuple | None = None
 
 
 def encode_documents(docs: DataFrame, codec: Codec, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
