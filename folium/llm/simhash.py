@@ -4,9 +4,11 @@ Fingerprint.  Bit j of a text is set if it is set in over half of the XXH64 hash
 (seed 42) of its four-word shingles, repeats included, after lower-casing A-Z.
 
 Links.  Equal fingerprints collapse first, so a group of copies is one row.  Two
-fingerprints that differ in at most ``MAX_BITS`` of 64 bits agree on at least two of
-six bands, hence meet under one of 15 keys of two bands (about 21 bits); this deals
-them to tasks and loses no pair.  Inside a task every fingerprint has a table of its
+fingerprints that differ in at most ``MAX_BITS`` of 64 bits agree on at least b - 4 of
+any b bands, hence meet under one key of b - 4 bands; this deals them to tasks and loses
+no pair.  The number of distinct fingerprints chooses b, so that a key holds about
+``PER_KEY`` of them at any size (b = 6: 15 keys of 21 bits; 7: 35 of 27; 8: 70 of 32).
+Inside a task every fingerprint has a table of its
 Hamming distances to ``PIVOTS`` reference fingerprints.  By the triangle inequality
 two fingerprints whose distances to any pivot differ by more than ``MAX_BITS`` are
 themselves further apart, so pairs are discarded by their maximum coordinate
@@ -20,13 +22,15 @@ forests together connect exactly what all links connect.
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; a
 null id is ignored when the smallest id of a component is taken, and a component
-without ids has a null one; repeated rows share a fingerprint; an empty table gives
-an empty result; further columns are ignored.
+without ids has a null one; repeated rows share a fingerprint; a text of any length is
+read whole; an empty table gives an empty result; columns besides the id and the text
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -39,7 +43,8 @@ from folium.operators.components import connected_components
 
 MAX_BITS = 4
 SEED = 42
-BANDS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))
+#: Distinct fingerprints that a key holds on average, at most, where they are spread evenly.
+PER_KEY = 64
 PIVOTS = 16
 BLOCK = 2048
 #: Shingles whose bits are counted at a time.
@@ -124,24 +129,26 @@ def near_pairs(fps: np.ndarray, table: np.ndarray, group: np.ndarray, side: np.n
 
 
 class Forest:
-    """Union-find over indices; ``join`` says which links were new."""
+    """Union-find over indices; ``join`` returns the links that were new."""
 
     def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, x: int) -> int:
-        up = self.up
-        while up[x] != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
-
-    def join(self, a: int, b: int) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
+        self.up = np.arange(n)
+
+    def join(self, i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
+        up, new = self.up, []
+        while len(i):
+            while (up[up] != up).any():  # every index points at its root
+                up = up[up]
+            a, b = np.minimum(up[i], up[j]), np.maximum(up[i], up[j])
+            apart = a != b
+            i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+            # One link for each larger root hangs it on a smaller one; the rest are seen again.
+            _, first = np.unique(b, return_index=True)
+            new += zip(i[first].tolist(), j[first].tolist(), strict=True)
+            up = up.copy()
+            up[b[first]] = a[first]
+        self.up = up
+        return new
 
 
 def _link_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,7 +164,7 @@ def _link_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         side = part["side"].to_numpy()
         forest, out = Forest(len(part)), []
         for i, j in near_pairs(fps, distance_table(fps, refs), group, side):
-            out += [(a, b) for a, b in zip(i.tolist(), j.tolist(), strict=True) if forest.join(a, b)]
+            out += forest.join(i, j)
         if not out:
             return None
         ends = part["fp"].to_numpy()
@@ -185,23 +192,27 @@ def _link_units(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield done
 
 
-def band_keys(distinct: DataFrame) -> DataFrame:
-    """(fp, band, value): 15 keys of two bands for each fingerprint."""
-    band = lambda lo, n: F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << n) - 1))
-    pairs = [(i, j) for i in range(len(BANDS)) for j in range(i + 1, len(BANDS))]
-    keys = [
-        F.struct(
-            F.lit(k).alias("band"),
-            F.shiftleft(band(*BANDS[i]), 11).bitwiseOR(band(*BANDS[j])).alias("value"),
-        )
-        for k, (i, j) in enumerate(pairs)
-    ]
+def band_count(n: int) -> int:
+    """The least number of bands whose keys hold ``PER_KEY`` of n fingerprints or fewer."""
+    b = MAX_BITS + 1
+    while b < 12 and n > PER_KEY * 2 ** (64 * (b - MAX_BITS) / b):
+        b += 1
+    return b
+
+
+def band_keys(distinct: DataFrame, b: int) -> DataFrame:
+    """(fp, band, value): the bits of every choice of b - ``MAX_BITS`` of b bands."""
+    edges = [64 * k // b for k in range(b + 1)]
+    keys = []
+    for k, chosen in enumerate(combinations(range(b), b - MAX_BITS)):
+        bits = sum(((1 << edges[i + 1]) - (1 << edges[i])) for i in chosen)
+        keys.append(F.struct(F.lit(k).alias("band"), F.col("fp").bitwiseAND(F.lit(_signed(bits)).cast("long")).alias("value")))
     return distinct.select("fp", F.explode(F.array(*keys)).alias("k")).select("fp", "k.band", "k.value")
 
 
 def links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) that connect what all links of distinct fingerprints connect."""
-    keyed = band_keys(distinct)
+    keyed = band_keys(distinct, band_count(distinct.count()))
     sizes = keyed.groupBy("band", "value").agg(F.count("*").alias("n")).where("n > 1")
     keyed = keyed.join(sizes, ["band", "value"])
     parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
@@ -238,8 +249,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = groups.join(roots, groups.fp == roots.node, "left").select(
         "fp", "n", "least", F.coalesce("root", "fp").alias("root")
     )
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = durable(placed.join(smallest, "root").select("fp", "n", "component_id"))
+    placed = durable(placed)
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("k"))
+    # Components of many fingerprints are joined by broadcast as well, so they stay spread.
+    many = F.lit(groups.count() / HOT_SHARE)
+    large = F.broadcast(smallest.where(F.col("k") > many).drop("k"))
+    rest = placed.join(large, "root", "left_anti").join(smallest.where(F.col("k") <= many).drop("k"), "root")
+    named = durable(placed.join(large, "root").unionByName(rest).select("fp", "n", "component_id"))
     hot_rows = F.lit(rows.count() / HOT_SHARE)
     hot = named.where(F.col("n") > hot_rows).select("fp", F.col("component_id").alias("c"), F.lit(True).alias("is_hot"))
     marked = rows.join(F.broadcast(hot), "fp", "left")
