@@ -2,7 +2,9 @@
 
 Per host, a line's frequency is the number of pages that hold it divided by the
 host's pages.  Lines above ``RATIO`` that stand on at least ``MIN_PAGES`` pages are boilerplate
-and go from every page of that host.  Lines are compared by 128 bits of hash after
+and go from every page of that host; two pages, as a line of one page repeats nothing
+(the only page of a host would lose its whole text).  ``host_of`` derives the host of a
+URL; ``documents`` names it in ``source``.  Lines are compared by 128 bits of hash after
 trimming; blank lines are never boilerplate and stay.
 
 Counts are grouped sums of (host, line) pairs, combined before the shuffle, so a hot
@@ -12,8 +14,10 @@ there are no more than ``BROADCAST_LINES``, else by a join on the host, whose ho
 partitions adaptive execution splits.  Texts are never shuffled in the first case.
 
 Defined cases: a null text has no lines and stays null; a null host is a host of its
-own; a line repeated on one page counts once; repeated rows are pages of their own; an
-empty table gives an empty result; further columns are kept by ``dedup_lines``.
+own; a line repeated on one page counts once; a line at exactly the ratio stays; repeated
+rows are pages of their own; texts and lines of any length are read whole; an empty table
+gives an empty result; ``dedup_lines`` keeps further columns of any name, ``line_dedup``
+ignores them.
 """
 
 from __future__ import annotations
@@ -21,13 +25,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.common import durable
+from folium.llm.common import durable, fresh
 
 RATIO = 0.1
-MIN_PAGES = 5
+MIN_PAGES = 2
 #: Boilerplate lines (16 bytes each) that may be broadcast; checked before.
 BROADCAST_LINES = 100_000
 _BLANK = " \t\r\x0b\x0c"
+#: Columns that ``dedup_lines`` adds: lines, lines dropped, the remaining text.
+ADDED = ("_line_dedup_lines", "_line_dedup_dropped", "_line_dedup_text")
 
 
 def _key(line: Column) -> Column:
@@ -62,24 +68,30 @@ def dedup_lines(
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
 ) -> DataFrame:
-    """All rows and columns, plus _n_lines, _n_dropped and _clean (the text that stays)."""
+    """All rows and columns, then ``ADDED`` (under longer names where the table has these)."""
+    added = fresh(docs, *ADDED)
     bad = durable(boilerplate(docs, host_col, text_col, ratio, min_pages))
     by_host = bad.groupBy("_host").agg(F.collect_set("_k").alias("_bad")).withColumnRenamed("_host", "_bad_host")
     if bad.count() <= BROADCAST_LINES:
         by_host = F.broadcast(by_host)
-    host = F.coalesce(F.col(host_col).cast("string"), F.lit("\0null"))
-    rows = docs.withColumn("_lines", _lines(F.col(text_col))).join(by_host, host == F.col("_bad_host"), "left")
+    row = docs.select(F.struct(*docs.columns).alias("_row"))
+    host = F.coalesce(F.col("_row")[host_col].cast("string"), F.lit("\0null"))
+    row = row.withColumn("_lines", _lines(F.col("_row")[text_col])).join(by_host, host == F.col("_bad_host"), "left")
     kept = F.when(F.col("_bad").isNull(), F.col("_lines")).otherwise(
         F.filter("_lines", lambda x: ~F.array_contains(F.col("_bad"), _key(x)))
     )
-    rows = rows.withColumn("_kept", kept)
-    return rows.withColumns(
-        {
-            "_n_lines": F.coalesce(F.size("_lines"), F.lit(0)),
-            "_n_dropped": F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)),
-            "_clean": F.array_join("_kept", "\n"),
-        }
-    ).drop("_lines", "_kept", "_bad", "_bad_host")
+    return row.withColumn("_kept", kept).select(
+        *[F.col("_row")[c].alias(c) for c in docs.columns],
+        F.coalesce(F.size("_lines"), F.lit(0)).alias(added[0]),
+        F.coalesce(F.size("_lines") - F.size("_kept"), F.lit(0)).alias(added[1]),
+        F.array_join("_kept", "\n").alias(added[2]),
+    )
+
+
+def host_of(url: Column) -> Column:
+    """The host of a URL in lower case, without user, port or a leading www."""
+    host = F.regexp_extract(F.lower(url), r"^(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)", 1)
+    return F.nullif(F.regexp_replace(host, r"^www\.", ""), F.lit(""))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -87,7 +99,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source"
     rows = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_source"), F.col(text_col).alias("_text"))
     return dedup_lines(rows, "_source", "_text").select(
         F.col("_id").alias(id_col),
-        F.col("_n_lines").cast("long").alias("n_lines"),
-        F.col("_n_dropped").cast("long").alias("n_dropped"),
-        F.col("_clean").alias("clean_text"),
+        F.col(ADDED[0]).cast("long").alias("n_lines"),
+        F.col(ADDED[1]).cast("long").alias("n_dropped"),
+        F.col(ADDED[2]).alias("clean_text"),
     )

@@ -30,8 +30,9 @@ base AS (SELECT doc_id, lang, source, CAST(len(w) AS BIGINT) AS n_words,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(len(l) AS BIGINT) AS n_lines,
   CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM w LEFT JOIN rep USING (doc_id)),
 m AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  least(1000, 1000 * n_symbols // greatest(word_chars, 1)) AS sym, least(1000, 1000 * n_dup_lines // greatest(n_lines, 1)) AS dup,
-  least(1000, 1000 * n_repeat_words // greatest(n_words, 1)) AS rep, least(1000, 10 * word_chars // greatest(n_words, 1)) AS len FROM base),
+  1000 * n_symbols // greatest(word_chars, 1) AS sym, 1000 * n_dup_lines // greatest(n_lines, 1) AS dup,
+  1000 * n_repeat_words // greatest(n_words, 1) AS rep, 10 * word_chars // greatest(n_words, 1) AS len0,
+  CAST(1 AS BIGINT) << greatest(0, length(bin(len0)) - 10) AS unit, len0 // unit * unit AS len FROM base),
 cells AS (SELECT lang, source, x.m AS m, x.c AS c, count(*) AS n FROM (
   SELECT lang, source, unnest([{{'m': 'sym', 'c': sym}}, {{'m': 'dup', 'c': dup}}, {{'m': 'rep', 'c': rep}}, {{'m': 'len', 'c': len}}]) AS x
   FROM m WHERE NOT base_failed) GROUP BY ALL),{level("s", "lang, source")},{level("l", "lang")},{level("g", "'all'")},

@@ -2,9 +2,10 @@
 
 Base counts come from each whole text by column expressions.  Four ratios of the
 rows that pass the base rule go into a mergeable quantile sketch per (language,
-source): counts over a fixed grid of 1001 cells, so sketches merge by adding
-counts, give the same result in any order, and answer a quantile to within one
-cell (a thousandth; a tenth of a character for word length).  A group of fewer than
+source): counts over a fixed grid, so sketches merge by adding counts, give the same
+result in any order, and answer a quantile to within one cell.  The three shares of
+a text have 1001 cells of a thousandth.  Word length has cells of a tenth of a character
+up to 102.3 and from there 512 cells to an octave, without a top.  A group of fewer than
 ``MIN_GROUP`` rows takes the merged sketch of its language, and a language of
 fewer takes that of the corpus.
 
@@ -14,7 +15,8 @@ keeps a group of equal values from rejecting its first different row.
 
 Defined cases: a null or empty text has no words, so it fails the base rule; null
 languages and sources form groups of their own; repeated rows and ids are rows
-like any other; an empty table gives an empty result; further columns are ignored.
+like any other; texts of any length are read whole; an empty table gives an empty result;
+columns besides those named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -99,20 +101,23 @@ def base_metrics(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="la
     rows = rows.withColumn("n_repeat_words", F.when(F.col("_s").isNull(), 0).otherwise(covered).cast("long")).drop("_s")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     div = lambda a, b: F.call_function("div", a, F.greatest(b, F.lit(1).cast("long")))
-    cell = lambda x: F.least(x, F.lit(1000).cast("long")).cast("int")
+    # The ten highest bits: exact below 1024, then to within a 512th.
+    length = div(10 * F.col("word_chars"), F.col("n_words"))
+    unit = F.call_function("shiftleft", F.lit(1).cast("long"), F.greatest(F.lit(0), F.length(F.bin(length)) - 10))
     return rows.withColumns(
         {
             "base_failed": failed,
-            "_sym": cell(div(1000 * F.col("n_symbols"), F.col("word_chars"))),
-            "_dup": cell(div(1000 * F.col("n_dup_lines"), F.col("_n_lines"))),
-            "_rep": cell(div(1000 * F.col("n_repeat_words"), F.col("n_words"))),
-            "_len": cell(div(10 * F.col("word_chars"), F.col("n_words"))),
+            "_sym": div(1000 * F.col("n_symbols"), F.col("word_chars")),
+            "_dup": div(1000 * F.col("n_dup_lines"), F.col("_n_lines")),
+            "_rep": div(1000 * F.col("n_repeat_words"), F.col("n_words")),
+            "_len": F.call_function("div", length, unit) * unit,
         }
     )
 
 
 def sketch(metrics: DataFrame) -> DataFrame:
-    """Cell counts per (language, source, ratio): at most 4 * 1001 rows a group."""
+    """Cell counts per (language, source, ratio): about 4000 rows a group, and 512 more
+    for each octave of mean word length."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("m"), F.col(f"_{k}").alias("c")) for k in SLACK]))
     return (
         metrics.where(~F.col("base_failed"))

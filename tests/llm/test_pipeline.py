@@ -1,11 +1,12 @@
 import hashlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from folium.llm import bpe, lines, mixing, quality_model, simhash
 from folium.llm.common import documents
-from tests.llm.helpers import table
+from tests.llm.helpers import AWKWARD, empty, table
 
 
 def test_stages_against_brute_force(spark, data, tmp_path):
@@ -59,6 +60,33 @@ def test_stages_against_brute_force(spark, data, tmp_path):
     assert np.isclose(steps[5].count(), steps[4].count())
 
 
+def test_stages_take_awkward_rows(spark, data):
+    """Nulls, empty and long texts, ties, repeats and clashing columns, stage by stage."""
+    extra = {c: F.lit(5) for c in ("_h", "_g", "_p", "_n", "_lines", "_kept", "_bad", "_row", "_t", "_line_dedup_text")}
+    docs = table(spark).withColumns(extra)
+    long = " ".join(f"w{i % 5000} |" for i in range(120_000))
+    docs = docs.unionByName(docs.where("doc_id = 1").withColumns({"doc_id": F.lit(70).cast("long"), "text": F.lit(long)}))
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, data)
+        rows = out.collect()
+        if name == "bpe_encoding":
+            assert len(rows) == docs.count() and {r.n_tokens for r in rows if r.doc_id in (2, 3)} == {0}
+            continue
+        assert out.columns == docs.columns
+        assert all(r._h == r._p == r._row == r._line_dedup_text == 5 for r in rows)
+        if name == "line_dedup":
+            assert len(rows) == docs.count() and [r.text for r in rows if r.doc_id == 2] == [None]
+        elif name == "simhash_near_dedup":
+            assert sum(r.text == AWKWARD[0][1] for r in rows) == 1 and sum(not (r.text or "").strip() for r in rows) == 1
+        elif name == "mixing":
+            assert {70, 7} <= {r.doc_id for r in rows} <= {r.doc_id for r in docs.collect()}
+
+
+def test_stages_take_empty_tables(spark, data):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty(spark), data).collect() == []
+
+
 def test_near_dedup_keeps_one_row_of_each_group(spark, data):
     texts = {k: " ".join(f"{k}{i}" for i in range(60)) for k in "abcde"}
     rows = [

@@ -4,6 +4,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from folium.llm import bpe, fingerprints, lines, mixing, quality_rules, simhash
 from tests.llm import helpers
@@ -160,7 +161,7 @@ def test_simhash_awkward_rows(spark):
 def test_fingerprint_estimates_likeness():
     rnd = random.Random(3)
     vocab = [f"w{i}" for i in range(200)]
-    terms, errors = fingerprints._Terms(), []
+    terms, errors = fingerprints.Draws(), []
     for _ in range(60):
         a = " ".join(rnd.choice(vocab) for _ in range(200))
         b = a[: len(a) // 2] + " " + " ".join(rnd.choice(vocab) for _ in range(90))
@@ -169,6 +170,78 @@ def test_fingerprint_estimates_likeness():
     assert abs(np.mean(errors)) < 0.03 and np.std(errors) < 0.09
 
 
+def plain_fingerprint(text: str) -> list[int]:
+    """The samples by loops over words and samples."""
+    import math
+    from collections import Counter
+
+    import xxhash
+
+    full, lanes = (1 << 64) - 1, range(3 * fingerprints.SAMPLES)
+
+    def mix(x):
+        x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & full
+        x = (x ^ (x >> 27)) * 0x94D049BB133111EB & full
+        return x ^ (x >> 31)
+
+    step, best = 0x9E3779B97F4A7C15, [(math.inf, 0)] * fingerprints.SAMPLES
+    for word, n in (Counter(text.split()) or {"": 1}).items():
+        term = xxhash.xxh64_intdigest(word.encode(), 4)
+        mixed = [mix((term + (k + 1) * step) & full) for k in lanes]
+        u = [(((x >> 40) + 0.5) / 2**24, ((x & 0xFFFFFF) + 0.5) / 2**24) for x in mixed]
+        for k in range(fingerprints.SAMPLES):
+            (a, b), (c, d), (beta, _) = (u[k + j * fingerprints.SAMPLES] for j in range(3))
+            r, gamma = -math.log(a * b), -math.log(c * d)
+            t = math.floor(math.log(1 + math.log(n)) / r + beta)
+            value = math.log(gamma) - r * (t - beta) - r
+            sample = mix(term ^ ((t * step + 1) & full)) >> 48
+            best[k] = min(best[k], (value, sample))
+    return [b for _, b in best]
+
+
+def test_fingerprint_equals_plain_sampler(monkeypatch):
+    rnd = random.Random(8)
+    texts = ["", "a", "a a a b", *(" ".join(rnd.choice(["x", "y", "z", "é", "w" * 30]) + str(rnd.randrange(40)) for _ in range(300)) for _ in range(4))]
+    draws = fingerprints.Draws()
+    got = [fingerprints.fingerprint(t, draws).tolist() for t in texts]
+    want = [plain_fingerprint(t) for t in texts]
+    # Single precision may turn a near tie.
+    assert np.mean(np.array(got) == np.array(want)) > 0.99
+    monkeypatch.setattr(fingerprints, "KEPT", 16)  # the table is emptied within a text
+    assert [fingerprints.fingerprint(t, fingerprints.Draws()).tolist() for t in texts] == got
+
+
+def test_ranges_cut_a_hot_id_by_hash():
+    bounds = fingerprints.cut_points([3, 7, 7, 7, 9])
+    rng = np.random.default_rng(1)
+    hashes = rng.integers(-(1 << 63), 1 << 63, 4000)
+    keys = np.repeat([1, 3, 7, 8], 1000)
+    got = fingerprints.range_of(keys, hashes, bounds)
+    order = np.lexsort((hashes, keys))
+    assert (np.diff(got[order]) >= 0).all()
+    hot = np.bincount(got[keys == 7], minlength=6)
+    assert (hot > 0).sum() == 4 - 1 and hot.max() < 600
+    plain = [sum((b, c) <= (k, h) for b, c in zip(*(x.tolist() for x in bounds), strict=True)) for k, h in zip(keys.tolist(), hashes.tolist(), strict=True)]
+    assert got.tolist() == plain
+
+
+@pytest.mark.parametrize("hot_share", [3, 2000])
+def test_fingerprints_of_repeated_rows(spark, monkeypatch, hot_share):
+    """A third of the rows are one row; ids are null or shared by many texts."""
+    monkeypatch.setattr(fingerprints, "BLOCK", 7)
+    rows = [(5, "the same row again", "en", "a")] * 40 + [(None, f"no id {i} {i % 9}", "en", "a") for i in range(40)]
+    rows += [(i % 11, f"text {i} of some id", "en", "a") for i in range(40)] + [(None, "twice", "en", "a")] * 2
+    docs = helpers.table(spark, rows).repartition(5)
+    got = sorted((r.doc_id or 0, r.doc_id is None, *r[1:]) for r in fingerprints.fingerprint_documents(docs, hot_share=hot_share).collect())
+    h = {t: x for t, x in docs.select("text", F.xxhash64("text")).distinct().collect()}
+    order = sorted(((i is not None, i or 0, h[t], t) for i, t, _, _ in rows))
+    draws, want = fingerprints.Draws(), []
+    for (has, i, _, t), (_, _, _, n) in zip(order, order[1:] + order[:1], strict=True):
+        own, after = fingerprints.fingerprint(t, draws), fingerprints.fingerprint(n, draws)
+        want.append((i if has else 0, not has, *fingerprints._results(t, own, n, after, draws)))
+    assert got == sorted(want)
+
+
 @pytest.mark.parametrize("parts", [1, 2, 5])
 def test_fingerprints_follow_id_order(spark, parts):
     docs = helpers.table(spark).repartition(parts)
@@ -193,7 +266,8 @@ def test_line_dedup(spark):
     out = {r.doc_id: r for r in lines.line_dedup(helpers.table(spark, rows)).collect()}
     assert len(out) == len(rows)
     assert out[3].clean_text == "line 3\n" and (out[3].n_lines, out[3].n_dropped) == (5, 3)
-    assert out[21].clean_text == "menu\nother" and out[20].n_dropped == 0
+    # Lines of all three pages of a small host go; the only page of a host keeps its own.
+    assert out[21].clean_text == "" and out[21].n_dropped == 2 and out[20].n_dropped == 0
     assert out[40].clean_text is None and out[40].n_lines == 0
     assert len(lines.line_dedup(helpers.table(spark)).collect()) == len(helpers.AWKWARD)
     assert lines.line_dedup(helpers.empty(spark)).collect() == []
@@ -205,6 +279,19 @@ def test_line_dedup_without_broadcast(spark, monkeypatch):
     assert {r.clean_text for r in lines.line_dedup(helpers.table(spark, rows)).collect()} == {f"line {i}" for i in range(9)}
 
 
+def test_dedup_lines_keeps_clashing_columns(spark):
+    docs = helpers.table(spark).withColumns({c: F.lit(3) for c in ("_lines", "_kept", "_bad", "_row", *lines.ADDED)})
+    rows = lines.dedup_lines(docs)
+    assert rows.columns[: len(docs.columns)] == docs.columns and len(set(rows.columns)) == len(docs.columns) + 3
+    assert {tuple(r[c] for c in lines.ADDED) for r in rows.collect()} == {(3, 3, 3)}
+
+
+def test_hosts_of_urls(spark):
+    urls = ["https://www.Site.org/a?b", "http://user@x.y:80/", "//cdn.z/q", "no url", None, "ftp://h"]
+    got = [r[0] for r in spark.createDataFrame([(u,) for u in urls], "u string").select(lines.host_of(F.col("u"))).collect()]
+    assert got == ["site.org", "x.y", "cdn.z", None, None, "h"]
+
+
 def test_mixing_meets_targets(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     known = spark.read.parquet(f"{data}/labels.parquet")
@@ -231,6 +318,26 @@ def test_mixing_projects_onto_nonnegative_rates(spark):
     assert [r[0] for r in members.select(mixing.rate_column([[-5.0, -5.0], [1.0, 0.0]])).collect()] == [0.9, 0.1, 0.5]
 
 
+def test_mixing_to_given_weights(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    known = spark.read.parquet(f"{data}/labels.parquet")
+    rows = mixing.mix(docs, known, weights={"fr": 40, "en": 40, "de": 20}, budget=50_000.0).collect()
+    t, rate = np.array([r.n_tokens for r in rows], dtype=float), np.array([r.rate for r in rows])
+    got = (rate * t) @ np.array([r.posterior for r in rows])
+    assert np.allclose(got, [10_000, 20_000, 0, 20_000], atol=500)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, known, weights={"xx": 1.0})
+    with pytest.raises(ValueError):  # one document's posterior cannot be split
+        one = spark.createDataFrame([(10, [0.5, 0.5])], "_tokens long, _p array<double>")
+        mixing.fit_rates(one, 2, weights=np.array([1.0, 0.0]))
+
+
+def test_apply_mix_keeps_clashing_columns(spark):
+    docs = helpers.table(spark).withColumns({"_p": F.lit(7), "_n": F.lit(8), "_row": F.lit(9), "_m": F.lit(6)})
+    mixed = mixing.apply_mix(docs, helpers.labels(spark, [(1, 1, 0), (8, 1, 0)])).collect()
+    assert {(r._p, r._n, r._row, r._m) for r in mixed} == {(7, 8, 9, 6)} and mixed[0].__fields__ == docs.columns
+
+
 def test_mixing_awkward_rows(spark):
     docs = helpers.table(spark)
     for known in ([], [(1, 1, 0), (8, 1, 0), (4, 0, 0)]):
