@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Only where that setting is
-    absent (a local session, as in tests) a temporary folder takes its place.
+    ``spark.checkpoint.dir`` names it on a cluster, where its absence is an error.  Only
+    a local session, as in tests, has a temporary folder in its place.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="folium-"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
