@@ -8,7 +8,13 @@
    targets shrink no domain;
 5. BPE encoding: the ids' digests of what is left, the last result.
 
-All but the last return the columns of their input.
+All but the last return the columns of their input, further ones of any name included.
+
+Defined cases, of every stage: null and empty texts are scored, hashed and encoded like
+any other (a null text stays null; its n_chars is null after line dedup, as it has no
+text to count); null ids, languages and sources are values like any other; repeated rows
+are rows of their own until stage 3 keeps one; texts of any length are read whole; an
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm import bpe, mixing, quality_model, simhash
-from folium.llm.common import documents, shared_dir, tune
+from folium.llm.common import documents, fresh, shared_dir, tune
 from folium.llm.lines import dedup_lines
 
 
@@ -31,7 +37,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cleaned = dedup_lines(docs)
-    new = {"text": F.col("_clean"), "n_chars": F.char_length("_clean").cast("long")}
+    text = F.col(cleaned.columns[-1])
+    new = {"text": text, "n_chars": F.char_length(text).cast("long")}
     return cleaned.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
@@ -39,13 +46,14 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     tune(spark)
     # Two hashes of all columns, nulls told apart, name a row; equal rows share a name.
     parts = [x for c in docs.columns for x in (F.isnull(c), F.col(c))]
-    named = docs.withColumns({"_h": F.xxhash64(F.lit("row"), *parts), "_g": F.xxhash64(F.lit("name"), *parts)})
+    a, b = fresh(docs, "_h", "_g")
+    named = docs.withColumns({a: F.xxhash64(F.lit("row"), *parts), b: F.xxhash64(F.lit("name"), *parts)})
     # The smallest key of a component is of its smallest id, and has no id only if none has.
-    key = F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").alias("id"), F.col("_h").alias("h"), F.col("_g").alias("g"))
+    key = F.struct(F.isnull("doc_id").alias("no_id"), F.col("doc_id").alias("id"), F.col(a).alias("h"), F.col(b).alias("g"))
     found = simhash.near_duplicates(named.select(key.alias("_key"), "text"), "_key")
-    stays = found.select(F.col("component_id.h").alias("_h"), F.col("component_id.g").alias("_g")).distinct()
+    stays = found.select(F.col("component_id.h").alias(a), F.col("component_id.g").alias(b)).distinct()
     # Equal rows collapse before the exchange, so no key is hot in the join.
-    return named.dropDuplicates(["_h", "_g"]).join(stays, ["_h", "_g"], "left_semi").select(*docs.columns)
+    return named.dropDuplicates([a, b]).join(stays, [a, b], "left_semi").select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
