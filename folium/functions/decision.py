@@ -7,7 +7,7 @@ label passes.  Flags of all rules that fired are united, sorted and distinct.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Labels from the most lenient to the strictest, then the system labels.
@@ -102,3 +102,16 @@ def default_rule(primary: Column) -> Column:
 def metric_key(label: Column) -> Column:
     """The name under which a label is counted: its own; an unknown label is an error."""
     return F.when(label.isin(LABELS), label).otherwise(F.raise_error(F.concat(F.lit("unknown label "), label)).cast("string"))
+
+
+AUDIT_SHARE = 0.02
+
+
+def audited(decided: DataFrame, note: str) -> DataFrame:
+    """Rows (note, claim, claim_idx, label, flags, cosine) that an audit looks at, per note."""
+    group = Window.partitionBy(note, "label")
+    order = F.sha2(F.concat(F.col(note).cast("string"), F.lit("|"), "claim"), 256)
+    k, n = F.row_number().over(group.orderBy(order, "claim_idx", "flags")), F.count("*").over(group)
+    doubtful = (F.col("cosine") < LOW_COSINE) | F.array_contains("flags", "evidence_unverified")
+    rows = decided.withColumns({"_pick": k <= F.greatest(F.lit(1), F.ceil(AUDIT_SHARE * n)), "_doubt": doubtful})
+    return rows.where("_pick or _doubt").drop("_pick", "_doubt")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium.functions import text as T
@@ -35,6 +35,31 @@ def accepted_pairs(titles: DataFrame, generic: list[str]) -> DataFrame:
     return heads.join(listed, "k").where("u <> v").select("u", "v").distinct()
 
 
+def one_token_pairs(sets: DataFrame, generic: list[str]) -> DataFrame:
+    """(u, v): all pairs of token sets (id, toks; distinct, sorted) of which v has one token more.
+
+    Joined on the shorter set, which is the longer one less a token; every pair is returned."""
+    key = lambda t: F.array_join(t, " ")
+    rows = sets.where(F.size("toks") >= 2)
+    telling = F.size(F.array_except("toks", F.array(*map(F.lit, generic)))) > 0
+    short = rows.where(telling).select(F.col("id").alias("u"), key(F.col("toks")).alias("k"))
+    less = F.transform("toks", lambda t: key(F.array_remove(F.col("toks"), t)))
+    long = rows.where(F.size("toks") >= 3).select(F.col("id").alias("v"), F.explode(less).alias("k"))
+    return short.join(long, "k").select("u", "v")
+
+
+def verdict(x: Column, y: Column, generic: list[str]) -> Column:
+    """What the title rule says of two token sets: accept, or why they are skipped."""
+    short, long = F.when(F.size(x) <= F.size(y), x).otherwise(y), F.when(F.size(x) <= F.size(y), y).otherwise(x)
+    return (
+        F.when(F.size(short) < 2, "skip-mono")
+        .when(F.size(F.array_except(short, long)) > 0, "skip-no-subset")
+        .when(F.size(long) - F.size(short) > MAX_DIFFERENCE, "skip-token-diff")
+        .when(F.size(F.array_except(short, F.array(*map(F.lit, generic)))) == 0, "skip-hub-generic")
+        .otherwise("accept")
+    )
+
+
 def clusters(titles: DataFrame, generic: list[str]) -> DataFrame:
     """(id, cluster): the smallest id that a title is linked with over accepted pairs."""
     roots = connected_components(accepted_pairs(titles, generic))

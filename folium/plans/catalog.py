@@ -6,9 +6,9 @@ FLAGSHIP = "a8_claim_aggregate"
 
 
 def _modules():
-    from folium.plans import acronyms, evaluation, notes, pages, parsing, raters, rates, retrieval, rules, texts, traces, trends
+    from folium.plans import acronyms, evaluation, names, notes, pages, parsing, raters, rates, retrieval, rules, texts, traces, trends
 
-    return [acronyms, evaluation, notes, pages, parsing, raters, rates, retrieval, rules, texts, traces, trends]
+    return [acronyms, evaluation, names, notes, pages, parsing, raters, rates, retrieval, rules, texts, traces, trends]
 
 
 def queries() -> dict:

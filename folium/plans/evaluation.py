@@ -20,7 +20,7 @@ down AS (SELECT *, CASE WHEN evidence = false AND primary_label = 'supported_exa
     WHEN evidence = false AND primary_label = 'supported_paraphrase' THEN ['evidence_unverified'] ELSE [] END AS ef FROM claims),
 rank(l, r) AS (VALUES ('supported_exact', 0), ('supported_paraphrase', 1), ('partially_supported', 2), ('not_in_context', 3), ('contradicted', 4)),
 ranked AS (SELECT down.*, a.r AS ar, b.r AS br FROM down LEFT JOIN rank a ON a.l = audit_label LEFT JOIN rank b ON b.l = lab),
-decided AS (SELECT note, claim_idx, primary_label, cosine,
+decided AS (SELECT note, claim_idx, primary_label, cosine, claim,
   CASE WHEN parse_failed THEN 'parse_error' WHEN cosine < 0.4 THEN 'retrieval_or_parse_uncertain'
     WHEN audit_label IS NOT NULL AND ar > br THEN audit_label ELSE lab END AS label,
   CASE WHEN parse_failed THEN ['parse_error'] WHEN cosine < 0.4 THEN ['retrieval_low_cosine']
@@ -35,7 +35,7 @@ decided AS (SELECT note, claim_idx, primary_label, cosine,
 
 def decided(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = D.decide(F.col("primary_label"), F.col("audit_label"), F.col("cosine"), F.col("evidence"), F.col("parse_failed"))
-    return claims(spark, sf_dir).withColumn("d", row).select("note", "claim_idx", "primary_label", "cosine", "d.*")
+    return claims(spark, sf_dir).withColumn("d", row).select("note", "claim_idx", "primary_label", "cosine", "claim", "d.*")
 
 
 @query(
@@ -145,37 +145,13 @@ def presence_flag(spark, sf_dir):
 
 @query(
     "w23_audit_sample",
-    f"""WITH {_DECIDED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY sha256(note || '|' || claim_idx), note, claim_idx) AS k,
-  count(*) OVER (PARTITION BY label) AS n FROM (SELECT DISTINCT note, claim_idx, label FROM decided))
-SELECT note, claim_idx, label FROM r WHERE k <= greatest(1, ceil(0.02 * n))""",
+    f"""WITH {_DECIDED_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY note, label ORDER BY sha256(note || '|' || claim), claim_idx, flags) AS k, count(*) OVER (PARTITION BY note, label) AS n FROM decided)
+SELECT note, claim_idx, label FROM r WHERE cosine < 0.4 OR list_contains(flags, 'evidence_unverified') OR k <= greatest(1, ceil(0.02 * n))""",
 )
 def audit_sample(spark, sf_dir):
-    """Two per cent of every label, chosen by hash: the rank cut is a threshold per label.
-
-    A label may hold most rows, so its cut is found from counts of hash prefixes (65,536 a
-    label at most) and only rows of the prefix that contains the cut are ranked."""
-    from pyspark.sql import Window
-
-    rows = decided(spark, sf_dir).select("note", "claim_idx", "label").distinct()
-    rows = rows.withColumn("h", F.sha2(F.concat(F.col("note"), F.lit("|"), F.col("claim_idx")), 256)).withColumn("p", F.substring("h", 1, 4))
-    counts = rows.groupBy("label", "p").agg(F.count("*").alias("c"))
-    per = Window.partitionBy("label")
-    counts = counts.withColumn("upto", F.sum("c").over(per.orderBy("p"))).withColumn("n", F.sum("c").over(per))
-    want = F.greatest(F.lit(1), F.ceil(0.02 * F.col("n")))
-    near = counts.where(F.col("upto") - F.col("c") < want).select("label", "p", (want - (F.col("upto") - F.col("c"))).alias("left"), "c")
-    picked = rows.join(near, ["label", "p"])
-    k = F.row_number().over(Window.partitionBy("label", "p").orderBy("h", "note", "claim_idx"))
-    return picked.withColumn("k", k).where(F.col("k") <= F.col("left")).select("note", "claim_idx", "label")
-
-
-@query("w23_audit_set")
-def audit_set(spark, sf_dir):
-    """All of W23: every claim of low cosine or unverified evidence, and the sample of each label.
-
-    The oracle SQL of w23_audit_sample holds the sample alone."""
-    always = (F.col("cosine") < 0.4) | F.array_contains("flags", "evidence_unverified")
-    must = decided(spark, sf_dir).where(always).select("note", "claim_idx", "label")
-    return must.unionByName(audit_sample(spark, sf_dir)).distinct()
+    """Claims of a note that are audited: those of low cosine or unverified evidence, and two per
+    cent of each label, one at least, in the order of a hash of note and claim."""
+    return D.audited(decided(spark, sf_dir), "note").select("note", "claim_idx", "label")
 
 
 @query("f22_wilson_interval", """WITH c AS (SELECT lang, count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS h FROM documents JOIN labels USING (doc_id) GROUP BY lang)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from folium.functions import names as N
 from folium.functions import text as T
 from folium.plans.registry import Registry
+from folium.plans.texts import split_sql
 from folium.sources.claims import RUNS_SQL, runs
 from folium.sources.tables import table
 
@@ -65,20 +67,11 @@ def run_enrichment(spark, sf_dir):
 
 @query(
     "j1_concept_lookup",
-    """WITH k AS (SELECT lower(p_name) AS key, min(p_partkey) AS path, count(DISTINCT p_partkey) AS n FROM part WHERE p_size > 48 GROUP BY 1)
+    """WITH k AS (SELECT lower(p_name) AS key, min(p_partkey) AS path, count(DISTINCT p_partkey) AS n FROM part GROUP BY 1)
 SELECT p_partkey, CASE WHEN n = 1 THEN path END AS path FROM part LEFT JOIN k ON key = lower(p_name)""",
 )
 def concept_lookup(spark, sf_dir):
     """The one entry of a key; an ambiguous key finds nothing."""
-    part = table(spark, sf_dir, "part")
-    keys = part.where("p_size > 48").groupBy(F.lower("p_name").alias("key")).agg(F.min("p_partkey").alias("lo"), F.max("p_partkey").alias("hi"))
-    rows = part.select("p_partkey", F.lower("p_name").alias("key")).join(keys, "key", "left")
-    return rows.select("p_partkey", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("path"))
-
-
-@query("j1_concept_lookup_all")
-def concept_lookup_all(spark, sf_dir):
-    """j1_concept_lookup with every part as an entry (its oracle SQL takes p_size > 48)."""
     part = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("key"))
     keys = part.groupBy("key").agg(F.min("p_partkey").alias("lo"), F.max("p_partkey").alias("hi"))
     return part.join(keys, "key", "left").select("p_partkey", F.when(F.col("lo") == F.col("hi"), F.col("lo")).alias("path"))
@@ -98,17 +91,22 @@ def link_rewrite(spark, sf_dir):
     return rows.groupBy("doc_id").agg(F.array_join(F.transform(pairs, lambda x: x["v"]), ",").alias("links"))
 
 
+_NAMES_SQL = "SELECT c_custkey, c_name || ' ' || c_mktsegment || CASE WHEN c_custkey % 2 = 0 THEN ': eine lange Geschichte' ELSE '' END AS title FROM customer"
+
+
 @query(
     "j20_title_match",
-    r"""WITH t AS (SELECT doc_id, list_distinct(regexp_extract_all(lower(text[1:60]), '[\p{L}]{4,}')) AS a, list_distinct(regexp_extract_all(lower(text[1:90]), '[\p{L}]{4,}')) AS b FROM documents)
-SELECT doc_id, len(list_intersect(a, b)) >= 2 AND len(list_intersect(a, b)) >= 0.5 * len(a) AND len(list_intersect(a, b)) >= 0.6 * len(b) AS ok FROM t""",
+    rf"""WITH t AS ({_NAMES_SQL}), k AS (SELECT c_custkey, unnest([title, split_part(title, ':', 1), 'Other ' || title, 'Customer eine']) AS found, unnest(range(0, 4)) AS k, title FROM t),
+x AS (SELECT *, list_distinct(regexp_extract_all(lower(title), '[\p{{L}}]{{4,}}')) AS a, list_distinct(regexp_extract_all(lower(found), '[\p{{L}}]{{4,}}')) AS b, list_distinct(regexp_extract_all(lower(split_part(found, ':', 1)), '[\p{{L}}]{{4,}}')) AS m FROM k)
+SELECT c_custkey, k::INT AS k, len(list_intersect(a, m)) >= 2 AND len(list_intersect(a, b)) >= 0.5 * len(a) AND len(list_intersect(a, m)) >= 0.6 * len(m) AND NOT (len(list_intersect(a, m)) = len(m) AND len(m) < len(a) AND len(list_intersect(a, b)) < len(a)) AS ok FROM x""",
 )
 def title_match(spark, sf_dir):
-    """Token containment both ways: two shared, half of one side, six tenths of the other."""
-    toks = lambda n: F.array_distinct(F.regexp_extract_all(F.lower(F.substring("text", 1, n)), F.lit(r"[\p{L}]{4,}"), F.lit(0)))
-    rows = docs(spark, sf_dir, "text").select("doc_id", toks(60).alias("a"), toks(90).alias("b"))
-    n = F.size(F.array_intersect("a", "b"))
-    return rows.select("doc_id", ((n >= 2) & (n >= 0.5 * F.size("a")) & (n >= 0.6 * F.size("b"))).alias("ok"))
+    """A title against four candidates: itself, its main part, a longer one and another."""
+    name = F.concat("c_name", F.lit(" "), "c_mktsegment", F.when(F.col("c_custkey") % 2 == 0, ": eine lange Geschichte").otherwise(""))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", name.alias("t"))
+    found = F.array(F.col("t"), F.substring_index("t", ":", 1), F.concat(F.lit("Other "), "t"), F.lit("Customer eine"))
+    rows = rows.select("c_custkey", "t", F.posexplode(found).alias("k", "f"))
+    return rows.select("c_custkey", "k", N.titles_match(F.col("t"), F.col("f")).alias("ok"))
 
 
 @query(
@@ -135,23 +133,20 @@ def option_dedup(spark, sf_dir):
     return rows.agg(F.max(F.struct(F.char_length("p_name").alias("n"), "p_name")).alias("m")).select("key", F.col("m.p_name").alias("label"))
 
 
-@query("f3_sentence_key", r"SELECT doc_id, lower(trim(regexp_replace(regexp_replace(text[1:200] || ' (S. 4)', '\(S\. \d+(-\d+)?\)', '', 'g'), '\s+', ' ', 'g'), ' ')) AS k FROM documents")
-def sentence_key(spark, sf_dir):
-    t = F.regexp_replace(F.concat(F.substring("text", 1, 200), F.lit(" (S. 4)")), r"\(S\. \d+(-\d+)?\)", "")
-    return docs(spark, sf_dir, "text").select("doc_id", F.lower(F.trim(F.regexp_replace(t, r"\s+", " "))).alias("k"))
-
-
 def sentence_rows(spark, sf_dir):
     """Every sentence of a text with its place; every third text ends with an anchor."""
     t = F.concat(F.coalesce("text", F.lit("")), F.when(F.col("doc_id") % 3 == 0, " (S. 5)").otherwise(""))
     return docs(spark, sf_dir, "source", "text").select("doc_id", "source", F.posexplode(T.sentences(t)).alias("pos", "s"))
 
 
-@query("f3_sentence_key_all")
-def sentence_key_all(spark, sf_dir):
-    """The key of every whole sentence (the oracle SQL of f3_sentence_key cuts texts at 200 characters)."""
+_SENTENCES_SQL = f"""s AS (SELECT doc_id, source, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, source, {split_sql("text || CASE WHEN doc_id % 3 = 0 THEN ' (S. 5)' ELSE '' END")} AS l FROM documents))"""
+
+
+@query("f3_sentence_key", f"WITH {_SENTENCES_SQL}" + r" SELECT doc_id, pos, lower(regexp_replace(regexp_replace(regexp_replace(s, '\(S\. \d+(-\d+)?\)', '', 'g'), '\s+', ' ', 'g'), '^ | $', '', 'g')) AS k FROM s")
+def sentence_key(spark, sf_dir):
+    """The key of every whole sentence."""
     bare = F.regexp_replace("s", r"\(S\. \d+(-\d+)?\)", "")
-    return sentence_rows(spark, sf_dir).select("doc_id", "pos", F.lower(F.trim(F.regexp_replace(bare, r"\s+", " "))).alias("k"))
+    return sentence_rows(spark, sf_dir).select("doc_id", F.col("pos").cast("long").alias("pos"), F.lower(F.trim(F.regexp_replace(bare, r"\s+", " "))).alias("k"))
 
 
 @query("f10_pdf_normalise", r'''SELECT doc_id, md5(trim(regexp_replace(translate(regexp_replace(text, '(\w)-\n(\w)', '\1\2', 'g'), '„“”', '"""'), '\s+', ' ', 'g'), ' ')) AS h FROM documents''')
@@ -175,21 +170,10 @@ def language_sample(spark, sf_dir):
     return docs(spark, sf_dir, "text", "n_chars").select("doc_id", F.concat(F.substring("text", 1, 100), mid, F.right("text", F.lit(100))).alias("s"))
 
 
-@query("f68_cell_escape", r"SELECT page_id, replace(replace(replace(html[1:200], '\', '\\'), '|', '\|'), chr(10), ' ') AS c FROM pages")
+@query("f68_cell_escape", r"SELECT page_id, replace(replace(replace(html, '\', '\\'), '|', '\|'), chr(10), ' ') AS c FROM pages")
 def cell_escape(spark, sf_dir):
-    c = F.substring("html", 1, 200)
-    for a, b in (("\\", "\\\\"), ("|", "\\|"), ("\n", " ")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return table(spark, sf_dir, "pages").select("page_id", c.alias("c"))
-
-
-@query("f68_cell_escape_all")
-def cell_escape_all(spark, sf_dir):
-    """Whole pages as cells (the oracle SQL of f68_cell_escape cuts them at 200 characters)."""
-    c = F.col("html")
-    for a, b in (("\\", "\\\\"), ("|", "\\|"), ("\n", " ")):
-        c = F.replace(c, F.lit(a), F.lit(b))
-    return table(spark, sf_dir, "pages").select("page_id", c.alias("c"))
+    """Whole pages as table cells."""
+    return table(spark, sf_dir, "pages").select("page_id", N.table_cell(F.col("html")).alias("c"))
 
 
 @query("f83_context_pool", "SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY first) AS k FROM (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id, role) AS first FROM conversations)")
@@ -201,12 +185,6 @@ def context_pool(spark, sf_dir):
     return rows.join(first.withColumn("k", k.cast("long")), ["conv_id", "role"]).select("conv_id", "turn", "k")
 
 
-@query("f107_doi_from_name", "SELECT doc_id, regexp_replace('10.1000_ab_' || doc_id, '_', '/') AS doi FROM documents")
-def doi_from_name(spark, sf_dir):
-    name = F.concat(F.lit("10.1000_ab_"), "doc_id")
-    return docs(spark, sf_dir).select("doc_id", F.regexp_replace(name, r"^([^_]*)_", "$1/").alias("doi"))
-
-
 @query("p20_dedup_eligible", "SELECT p_partkey FROM part WHERE p_type NOT IN ('ECONOMY', 'PROMO', 'STANDARD')")
 def dedup_eligible(spark, sf_dir):
     return table(spark, sf_dir, "part").where(~F.col("p_type").isin("ECONOMY", "PROMO", "STANDARD")).select("p_partkey")
@@ -235,16 +213,9 @@ def sibling_density(spark, sf_dir):
     return rows.agg(n.alias("pages"), F.round(F.sum("n") / (n * (n - 1) / 2.0), 6).alias("density"))
 
 
-@query("a40_anchor_rate", r"SELECT source, round(avg(CASE WHEN regexp_matches(text[1:100] || CASE WHEN doc_id % 3 = 0 THEN ' (S. 5)' ELSE '' END, '\(S\. \d+(-\d+)?\)') THEN 1.0 ELSE 0.0 END), 6) AS rate FROM documents GROUP BY source")
+@query("a40_anchor_rate", f"WITH {_SENTENCES_SQL}" + r" SELECT source, round(avg(CASE WHEN regexp_matches(s, '\(S\. \d+(-\d+)?\)') THEN 1.0 ELSE 0.0 END), 6) AS rate FROM s GROUP BY source")
 def anchor_rate(spark, sf_dir):
-    t = F.concat(F.substring("text", 1, 100), F.when(F.col("doc_id") % 3 == 0, " (S. 5)").otherwise(""))
-    hit = F.when(t.rlike(r"\(S\. \d+(-\d+)?\)"), 1.0).otherwise(0.0)
-    return docs(spark, sf_dir, "source", "text").groupBy("source").agg(F.round(F.avg(hit), 6).alias("rate"))
-
-
-@query("a40_anchor_rate_all")
-def anchor_rate_all(spark, sf_dir):
-    """The share of a source's sentences with an anchor (the oracle SQL of a40_anchor_rate reads 100 characters)."""
+    """The share of a source's sentences with an anchor."""
     hit = F.when(F.col("s").rlike(r"\(S\. \d+(-\d+)?\)"), 1.0).otherwise(0.0)
     return sentence_rows(spark, sf_dir).groupBy("source").agg(F.round(F.avg(hit), 6).alias("rate"))
 

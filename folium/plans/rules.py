@@ -102,16 +102,6 @@ def tag_schema(spark, sf_dir):
     return rows.select("tag", F.col("tag").rlike(r"^[a-z0-9]+(-[a-z0-9]+)*(/[a-z0-9]+(-[a-z0-9]+)*){0,2}$").alias("ok"))
 
 
-@query("f51_author_label", "SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_name || ' & ' || c_mktsegment ELSE c_name || ' et al.' END AS label FROM customer")
-def author_label(spark, sf_dir):
-    """One author, two joined by &, more shortened."""
-    n = F.col("c_custkey") % 3
-    authors = F.when(n == 0, F.array("c_name")).when(n == 1, F.array("c_name", "c_mktsegment")).otherwise(F.array("c_name", "c_mktsegment", "c_name"))
-    a = F.col("a")
-    label = F.when(F.size(a) == 1, a[0]).when(F.size(a) == 2, F.concat_ws(" & ", a)).otherwise(F.concat(a[0], F.lit(" et al.")))
-    return table(spark, sf_dir, "customer").select("c_custkey", authors.alias("a")).select("c_custkey", label.alias("label"))
-
-
 @query("f118_csv_items", "SELECT p_partkey, list_filter(list_transform(string_split(' ' || p_name || ' ,, ' || p_brand || ' , ', ','), lambda x: trim(x, ' ')), lambda x: x <> '') AS items FROM part")
 def csv_items(spark, sf_dir):
     line = F.concat(F.lit(" "), "p_name", F.lit(" ,, "), "p_brand", F.lit(" , "))
@@ -131,24 +121,6 @@ def traffic_light(spark, sf_dir):
     return part(spark, sf_dir).select("p_partkey", light.alias("light"))
 
 
-@query("f95_disambiguation", r"SELECT p_partkey, trim(regexp_replace(p_name || ' (' || p_brand || ') x', '\s*\([^)]*\)', '', 'g'), ' ') AS t FROM part")
-def disambiguation(spark, sf_dir):
-    return part(spark, sf_dir).select("p_partkey", F.trim(F.regexp_replace(F.concat("p_name", F.lit(" ("), "p_brand", F.lit(") x")), r"\s*\([^)]*\)", "")).alias("t"))
-
-
-@query("f101_note_title", r"SELECT doc_id, coalesce(nullif(regexp_extract(CASE WHEN doc_id % 2 = 0 THEN '# ' || source || chr(10) || text ELSE text END, '(?m)^#\s+(.+)$', 1), ''), 'note-' || doc_id) AS title FROM documents")
-def note_title(spark, sf_dir):
-    body = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# "), "source", F.lit("\n"), "text")).otherwise(F.col("text"))
-    title = F.coalesce(T.first_group(body, r"(?m)^#\s+(.+)$"), F.concat(F.lit("note-"), "doc_id"))
-    return table(spark, sf_dir, "documents").select("doc_id", title.alias("title"))
-
-
-@query("f112_note_file_name", r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(p_name || ': ' || p_brand || '?', '[<>:"/\\|?*#]', '-', 'g'), '\s+', ' ', 'g'), ' ') || '.md' AS f FROM part""")
-def note_file_name(spark, sf_dir):
-    name = F.regexp_replace(F.concat("p_name", F.lit(": "), "p_brand", F.lit("?")), r'[<>:"/\\|?*#]', "-")
-    return part(spark, sf_dir).select("p_partkey", F.concat(F.trim(F.regexp_replace(name, r"\s+", " ")), F.lit(".md")).alias("f"))
-
-
 @query("f111_yaml_list", """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '[]' ELSE '["' || replace(p_name, '"', '\\"') || '", "' || p_brand || '"]' END AS y FROM part""")
 def yaml_list(spark, sf_dir):
     items = F.when(F.col("p_size") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("p_name", "p_brand"))

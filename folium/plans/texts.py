@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.functions import text as T
@@ -21,68 +21,132 @@ _STOP = ", ".join(f"'{w}'" for w in T.STOP_WORDS)
 _TOKENS = r"list_filter(list_distinct(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]+')), lambda w: length(w) >= 3 AND w NOT IN (" + _STOP + "))"
 
 
-@query("f1_content_tokens", f"SELECT doc_id, len(toks) AS n, array_to_string(list_sort(toks)[1:10], ' ') AS head FROM (SELECT doc_id, {_TOKENS.format(t='text')} AS toks FROM documents)")
+@query("f1_content_tokens", f"SELECT doc_id, len(toks) AS n, sha256(array_to_string(list_sort(toks), ' ')) AS h FROM (SELECT doc_id, {_TOKENS.format(t='text')} AS toks FROM documents)")
 def content_tokens(spark, sf_dir):
     rows = docs(spark, sf_dir).select("doc_id", F.array_sort(T.content_tokens(F.col("text"))).alias("t"))
-    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.array_join(F.slice("t", 1, 10), " ").alias("head"))
+    return rows.select("doc_id", F.size("t").cast("long").alias("n"), F.sha2(F.array_join("t", " "), 256).alias("h"))
 
 
-@query("f2_title_key", r"SELECT doc_id, trim(regexp_replace(lower(text[1:80]), '[^a-z0-9\s]', '', 'g'), ' ') AS k FROM documents")
+@query("f2_title_key", r"SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9\s]', '', 'g'), ' ') AS k FROM documents")
 def title_key(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.title_key(F.substring("text", 1, 80)).alias("k"))
+    return docs(spark, sf_dir).select("doc_id", T.title_key(F.col("text")).alias("k"))
 
 
-def _held_sql(t: str) -> str:
-    for a in T.ABBREVIATIONS:
-        t = f"replace({t}, '{a}', '{a.replace('.', '__PERIOD__')}')"
-    # RE2 has ASCII word boundaries only; two passes reach neighbours such as A.B.
-    for _ in range(2):
-        t = rf"regexp_replace({t}, '(^|[^\p{{L}}\p{{N}}_])([A-Z])\.', '\1\2__PERIOD__', 'g')"
-    t = rf"regexp_replace({t}, '(\d+)\.(\d+)', '\1__PERIOD__\2', 'g')"
-    return rf"regexp_replace({t}, 'S\.(\s*\d+(?:-\d+)?)', 'S__PERIOD__\1', 'g')"
+_ENDS = "|".join(a.replace(".", r"\.") for a in T.ABBREVIATIONS)
 
 
-_SPLIT = r"list_filter(list_transform(string_split_regex(regexp_replace({t}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda s: trim(replace(s, '__PERIOD__', '.'), ' ')), lambda s: s <> '')"
+def split_sql(t: str) -> str:
+    """Marks go to every candidate end, and from those that are held."""
+    t = rf"regexp_replace({t}, '([.!?])(\s+)', '\1' || chr(1) || '\2', 'g')"
+    t = rf"regexp_replace({t}, '({_ENDS}|(?:^|[^\p{{L}}\p{{N}}_])[A-Z]\.)' || chr(1), '\1', 'g')"
+    return rf"list_filter(list_transform(string_split({t}, chr(1)), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')"
 
 
-@query("f5_sentences", f"SELECT doc_id, len(s) AS n, list_aggregate(list_transform(s, lambda x: length(x)), 'max') AS longest FROM (SELECT doc_id, {_SPLIT.format(t=_held_sql('text'))} AS s FROM documents)")
+@query("f5_sentences", f"SELECT doc_id, len(s) AS n, list_aggregate(list_transform(s, lambda x: length(x)), 'max') AS longest FROM (SELECT doc_id, {split_sql('text')} AS s FROM documents)")
 def sentence_split(spark, sf_dir):
     rows = docs(spark, sf_dir).select("doc_id", T.sentences(F.col("text")).alias("s"))
     longest = F.array_max(F.transform("s", F.char_length))
     return rows.select("doc_id", F.size("s").cast("long").alias("n"), longest.cast("long").alias("longest"))
 
 
-@query("f8_claims", rf"""WITH b AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?m)^\[\^\d+\]:.*$', '', 'g'), '\[\^\d+\]', '', 'g'), '(?m)^#+\s+', '', 'g'), '[*_`>#-]+', ' ', 'g'), '\s+', ' ', 'g'), ' ') AS t FROM documents),
-s AS (SELECT doc_id, {_SPLIT.format(t=_held_sql('t'))} AS s FROM b),
-c AS (SELECT doc_id, list_distinct(list_filter(list_transform(s, lambda x: trim(x, E' \t\r\n:;,-')), lambda x: length(x) >= 30)) AS c FROM s)
-SELECT doc_id, len(c) AS n, coalesce(list_aggregate(list_transform(c, lambda x: length(x)), 'sum'), 0)::BIGINT AS chars FROM c""")
+# A note about each text: callouts, footnotes, links, repeats and citations are added.
+_NOTE_SQL = r"""'# Head ' || source || chr(10) || '> [!quote] said' || chr(10) || '> a quoted sentence of more than thirty characters.' || chr(10) || '[^1]: S. 4' || chr(10) || text || '[^1] '
+  || chr(10) || 'A claim with [[Target|the shown words]] in more than thirty characters. A CLAIM with [[Target|the shown words]] in more than thirty characters. Schlebbe und Greifeneder et al. 2022, S. 145.'"""
+
+
+def note_of():
+    return F.concat(
+        F.lit("# Head "), "source", F.lit("\n> [!quote] said\n> a quoted sentence of more than thirty characters.\n[^1]: S. 4\n"), "text",
+        F.lit("[^1] \nA claim with [[Target|the shown words]] in more than thirty characters. A CLAIM with [[Target|the shown words]] in more than thirty characters. Schlebbe und Greifeneder et al. 2022, S. 145."),
+    )
+
+
+_PLAIN_SQL = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '(?m)^[^\S\n]*> \[!quote\][^\n]*(?:\n[^\S\n]*>[^\n]*)*\n?', '', 'g'), '(?m)^\[\^\d+\]:.*$|\[\^\d+\]|(?m:^#+\s+)', '', 'g'), '[*_`>#-]+', ' ', 'g'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g')"""
+
+
+@query("f9_without_callouts", r"SELECT doc_id, sha256(regexp_replace(t, '(?m)^[^\S\n]*> \[!quote\][^\n]*(?:\n[^\S\n]*>[^\n]*)*\n?', '', 'g')) AS h FROM (SELECT doc_id, " + _NOTE_SQL + " AS t FROM documents)")
+def callouts_dropped(spark, sf_dir):
+    return docs(spark, sf_dir, "source", "text").select("doc_id", F.sha2(T.without_callouts(note_of()), 256).alias("h"))
+
+
+_CLAIMS_SQL = rf"""n AS (SELECT doc_id, {_NOTE_SQL} AS t FROM documents), b AS (SELECT doc_id, {_PLAIN_SQL} AS t FROM n),
+s AS (SELECT doc_id, list_filter(list_transform({split_sql("t")}, lambda x: trim(x, E' \t\r\n:;,-')), lambda x: length(x) >= 30) AS s FROM b),
+r AS (SELECT doc_id, unnest(s) AS c, generate_subscripts(s, 1) AS pos FROM s), f AS (SELECT doc_id, arg_min(c, pos) AS c FROM r GROUP BY doc_id, lower(c)),
+v AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(c, '\[\[[^\]|]*\|([^\]]*)\]\]', '\1', 'g'), '\[\[([^\]]*)\]\]', '\1', 'g'), '\s+', ' ', 'g'), E' \t\r\n:;,-') AS c FROM f WHERE NOT regexp_matches(c, '^\s*\[\[[^\]]*\]\]\s*\d*\.?\s*$')),
+claims AS (SELECT doc_id, c FROM v WHERE length(c) >= 30 AND NOT regexp_matches(c, '{T.META}')
+  AND NOT regexp_matches(c, '{T.CITATION}'))"""
+
+
+@query("f8_claims", f"WITH {_CLAIMS_SQL} SELECT doc_id, c AS claim FROM claims")
 def claim_extraction(spark, sf_dir):
-    rows = docs(spark, sf_dir).select("doc_id", T.claims(F.col("text")).alias("c"))
-    total = F.aggregate(F.transform("c", F.char_length), F.lit(0), lambda a, x: a + x)
-    return rows.select("doc_id", F.size("c").cast("long").alias("n"), total.cast("long").alias("chars"))
+    """One row per claim, whole."""
+    return docs(spark, sf_dir, "source", "text").select("doc_id", F.explode(T.claims(note_of())).alias("claim"))
+
+
+@query("p6_meta_claims", """WITH c AS (SELECT p_partkey, unnest(['[[' || p_name || ']] 2.', 'see [[x|' || p_name || ']] for what is said about ' || p_brand, 'Merge stub: die bestehende Note existiert schon lange', 'Bates et al. 1999, Kuhlthau & Belkin 2004, S. 12-14', p_name]) AS c FROM part)
+SELECT p_partkey, 'see ' || p_name || ' for what is said about ' || p_brand AS claim FROM part""")
+def meta_claims(spark, sf_dir):
+    """Of five claims the one about content stays, its link shown by its alias."""
+    found = F.array(
+        F.concat(F.lit("[["), "p_name", F.lit("]] 2.")), F.concat(F.lit("see [[x|"), "p_name", F.lit("]] for what is said about "), "p_brand"),
+        F.lit("Merge stub: die bestehende Note existiert schon lange"), F.lit("Bates et al. 1999, Kuhlthau & Belkin 2004, S. 12-14"), F.col("p_name"),
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", F.explode(T.content_claims(found)).alias("claim"))
+
+
+def _language_sql(t: str) -> str:
+    count = lambda words: f"len(list_filter(string_split_regex(lower({t}[1:2000]), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: w IN ({words})))"
+    german = count("'der','die','das','und','ist','werden','nicht','eine','einer'")
+    english = count("'the','and','is','are','not','with','from','this','that'")
+    return f"CASE WHEN regexp_matches({t}, '[äöüßÄÖÜ]') OR {german} >= {english} THEN 'DE' ELSE 'EN' END"
 
 
-@query("f34_language_pair", r"""SELECT doc_id, lang, CASE WHEN regexp_matches(text, '[äöüßÄÖÜ]')
-  OR len(regexp_extract_all(text[1:2000], '(?i)(^|[^\p{L}\p{N}_])(der|die|das|und|ist|werden|nicht|eine|einer)\b')) >= 0 AND g >= e THEN 'DE' ELSE 'EN' END AS guess
-FROM (SELECT *, len(list_filter(string_split_regex(lower(text[1:2000]), '[^\p{L}\p{N}_]+'), lambda w: w IN ('der','die','das','und','ist','werden','nicht','eine','einer'))) AS g,
-  len(list_filter(string_split_regex(lower(text[1:2000]), '[^\p{L}\p{N}_]+'), lambda w: w IN ('the','and','is','are','not','with','from','this','that'))) AS e FROM documents)""")
+@query("f34_language_pair", f"""SELECT d.doc_id, {_language_sql("s.text")} || '→' || {_language_sql("d.text")} AS pair FROM documents d JOIN benchmark s ON s.item_id = d.doc_id % (SELECT count(*) FROM benchmark)""")
 def language_pair(spark, sf_dir):
-    return docs(spark, sf_dir, "lang", "text").select("doc_id", "lang", T.german_or_english(F.col("text")).alias("guess"))
+    """The languages of a source (here: a benchmark text) and of a note."""
+    sources = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("source"))
+    n = F.broadcast(sources.agg(F.count("*").alias("n")))  # one row
+    rows = docs(spark, sf_dir).crossJoin(n).withColumn("item_id", F.col("doc_id") % F.col("n")).join(sources, "item_id")
+    return rows.select("doc_id", T.language_pair(F.col("text"), F.col("source")).alias("pair"))
 
 
-_IDS = "'see doi:10.1000/ab' || doc_id || '). ISBN 978-3-16-148410-0 arXiv: 2101.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') || ' PMID: ' || (1000000 + doc_id)"
+@query("f33_language_pair_v1", "SELECT doc_id, CASE WHEN regexp_matches(text[1:500], '[äöüßÄÖÜ]') THEN 'DE' ELSE 'EN' END AS guess FROM documents")
+def language_pair_v1(spark, sf_dir):
+    """The older rule: an umlaut among the first 500 characters (its own limit)."""
+    return docs(spark, sf_dir).select("doc_id", F.when(F.substring("text", 1, 500).rlike("[äöüßÄÖÜ]"), "DE").otherwise("EN").alias("guess"))
 
 
-@query("f41_identifiers", rf"""SELECT doc_id, rtrim(regexp_extract(t, '(?i)(?:doi[:\s./]*|https?://doi\.org/)(10\.\d{{4,9}}/[^\s"''<>]+)', 1), '.,;)') AS doi,
-  regexp_replace(regexp_extract(t, '(?i)ISBN(?:-1[03])?[:\s]*((?:97[89][- ]?)?(?:\d[- ]?){{9}}[\dX])', 1), '[^0-9X]', '', 'g') AS isbn,
-  regexp_extract(t, '(?i)arXiv[:\s]+(\d{{4}}\.\d{{4,5}})', 1) AS arxiv, regexp_extract(t, '(?i)PMID[:\s]+(\d{{6,9}})', 1) AS pmid FROM (SELECT doc_id, {_IDS} AS t FROM documents)""")
-def identifiers(spark, sf_dir):
-    t = F.concat(
-        F.lit("see doi:10.1000/ab"), F.col("doc_id"), F.lit("). ISBN 978-3-16-148410-0 arXiv: 2101."),
-        F.lpad((F.col("doc_id") % 100000).cast("string"), 5, "0"), F.lit(" PMID: "), (F.lit(1000000) + F.col("doc_id")).cast("string"),
-    )
-    rows = docs(spark, sf_dir, "lang").select("doc_id", t.alias("t"))
-    return rows.select("doc_id", T.doi(F.col("t")).alias("doi"), T.isbn(F.col("t")).alias("isbn"), T.arxiv(F.col("t")).alias("arxiv"), T.pmid(F.col("t")).alias("pmid"))
+# Identifiers of several shapes are put into the running text of each document.
+_IDS_SQL = r"""text || CASE doc_id % 4 WHEN 0 THEN ' see doi:10.1000/ab' || doc_id || '). ' WHEN 1 THEN ' https://doi.org/10.12345/x.' || doc_id || ', and ' WHEN 2 THEN ' DOI 10.5555/(' || source || ')' || ';' ELSE ' no 10.1/x ' END
+  || CASE doc_id % 3 WHEN 0 THEN ' ISBN-13: 978-3-16-148410-0 ' WHEN 1 THEN ' isbn 316148410X' ELSE ' ISBN none ' END
+  || CASE doc_id % 3 WHEN 0 THEN ' arXiv: 2101.' || lpad(CAST(doc_id % 100000 AS VARCHAR), 5, '0') WHEN 1 THEN ' arxiv:math.GT/0309136 ' ELSE ' arXiv 21.1 ' END || CASE WHEN doc_id % 2 = 0 THEN ' PMID: ' || (1000000 + doc_id) ELSE ' PMID 12' END"""
+
+
+def with_identifiers():
+    d = F.col("doc_id")
+    key = F.lpad((d % 100000).cast("string"), 5, "0")
+    return F.concat(
+        F.col("text"),
+        F.when(d % 4 == 0, F.concat(F.lit(" see doi:10.1000/ab"), d, F.lit("). "))).when(d % 4 == 1, F.concat(F.lit(" https://doi.org/10.12345/x."), d, F.lit(", and ")))
+        .when(d % 4 == 2, F.concat(F.lit(" DOI 10.5555/("), "source", F.lit(");"))).otherwise(" no 10.1/x "),
+        F.when(d % 3 == 0, " ISBN-13: 978-3-16-148410-0 ").when(d % 3 == 1, " isbn 316148410X").otherwise(" ISBN none "),
+        F.when(d % 3 == 0, F.concat(F.lit(" arXiv: 2101."), key)).when(d % 3 == 1, " arxiv:math.GT/0309136 ").otherwise(" arXiv 21.1 "),
+        F.when(d % 2 == 0, F.concat(F.lit(" PMID: "), (d + 1000000).cast("string"))).otherwise(" PMID 12"),
+    )
+
+
+def _identifier(name: str, rule, pattern: str, fold: str = "{x}"):
+    found = fold.format(x=f"regexp_extract(t, '{pattern}', 1)")
+
+    @query(name, f"SELECT doc_id, nullif({found}, '') AS id FROM (SELECT doc_id, {_IDS_SQL} AS t FROM documents)")
+    def one(spark, sf_dir):
+        return docs(spark, sf_dir, "source", "text").select("doc_id", rule(with_identifiers()).alias("id"))
+
+
+_identifier("f41_doi", T.doi, r"""(?i)(?:doi[:\s./]*|https?://doi\.org/)(10\.\d{{4,9}}/[^\s"''<>]+)""".replace("{{", "{").replace("}}", "}"), "rtrim({x}, '.,;)')")
+_identifier("f42_isbn", T.isbn, r"(?i)ISBN(?:-1[03])?[:\s]*((?:97[89][- ]?)?(?:\d[- ]?){9}[\dX])", "regexp_replace({x}, '[^0-9X]', '', 'g')")
+_identifier("f43_arxiv", T.arxiv, r"(?i)arXiv[:\s]+(\d{4}\.\d{4,5}|[a-z\-]+(?:\.[A-Z]{2})?/\d{7})")
+_identifier("f44_pmid", T.pmid, r"(?i)PMID[:\s]+(\d{6,9})")
 
 
 @query("f60_acronym_shape", r"""WITH w AS (SELECT DISTINCT unnest(string_split_regex(text, '\s+')) AS w FROM documents)
@@ -106,11 +170,11 @@ def cache_key(spark, sf_dir):
     return docs(spark, sf_dir, "lang", "source", "text").select("doc_id", key.alias("k"))
 
 
-@query("f19_file_stem", r"""WITH a AS (SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(text[1:90]), ' ', '-'), '[<>:"/\\|?*\x00-\x1f]+', '-', 'g'), '-+', '-', 'g'), ' .-_') AS s FROM documents),
+@query("f19_file_stem", r"""WITH a AS (SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(text), ' ', '-'), '[<>:"/\\|?*\x00-\x1f]+', '-', 'g'), '-+', '-', 'g'), ' .-_') AS s FROM documents),
 b AS (SELECT doc_id, trim((CASE WHEN s = '' THEN 'note' ELSE s END)[1:60], ' .-_') AS s FROM a)
 SELECT doc_id, CASE WHEN s = '' THEN 'note' ELSE s END AS stem FROM b""")
 def file_stem(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", T.file_stem(F.substring("text", 1, 90)).alias("stem"))
+    return docs(spark, sf_dir).select("doc_id", T.file_stem(F.col("text")).alias("stem"))
 
 
 @query("f102_excerpt", r"SELECT doc_id, array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[1:150], ' ') AS excerpt FROM documents")
@@ -220,14 +284,14 @@ def word_split(spark, sf_dir):
 
 @query("a21_recurring_lines", """WITH l AS (SELECT DISTINCT source, doc_id, trim(x, ' ') AS line FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS x FROM documents)),
 p AS (SELECT source, count(*) AS n FROM documents GROUP BY source)
-SELECT source, line, count(*) AS pages FROM l JOIN p USING (source) WHERE line <> '' AND length(line) <= 80 GROUP BY source, line, n HAVING count(*) >= greatest(3, CAST(floor(0.02 * n) AS BIGINT))""")
+SELECT source, line, count(*) AS pages FROM l JOIN p USING (source) WHERE line <> '' AND length(line) <= 80 GROUP BY source, line, n HAVING count(*) >= greatest(3, CAST(floor(0.2 * n) AS BIGINT))""")
 def recurring_lines(spark, sf_dir):
     """Short lines on many pages of a source; lines are counted once a page in the row."""
     rows = docs(spark, sf_dir, "source", "text")
     lines = F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: (x != "") & (F.char_length(x) <= 80)))
     counted = rows.select("source", F.explode(lines).alias("line")).groupBy("source", "line").agg(F.count("*").alias("pages"))
     totals = rows.groupBy("source").agg(F.count("*").alias("n"))
-    need = F.greatest(F.lit(3), F.floor(F.lit(0.02) * F.col("n")))
+    need = F.greatest(F.lit(3), F.floor(F.lit(0.2) * F.col("n")))
     return counted.where("pages >= 3").join(totals, "source").where(F.col("pages") >= need).select("source", "line", "pages")
 
 
@@ -251,36 +315,20 @@ def anchor_coverage(spark, sf_dir):
     return rows.select("doc_id", F.when(F.size("s") == 0, 0.0).otherwise(hits / F.size("s")).alias("coverage"))
 
 
-@query("s7_marked_text", "SELECT source, sha256(string_agg(chr(10) || chr(10) || '[S. ' || doc_id || ']' || chr(10) || chr(10) || text, '' ORDER BY doc_id)) AS h FROM documents WHERE n_chars < 400 GROUP BY source")
+@query("s7_marked_text", "SELECT source, doc_id, chr(10) || chr(10) || '[S. ' || doc_id || ']' || chr(10) || chr(10) || text AS marked FROM documents")
 def marked_text(spark, sf_dir):
-    """Pages of a source in order, each after its marker (short pages only: a document's worth)."""
-    pages = docs(spark, sf_dir, "source", "text", "n_chars").where("n_chars < 400")
+    """Every page of a source after its marker, in pieces with their order; no source is gathered."""
     marked = F.concat(F.lit("\n\n[S. "), F.col("doc_id"), F.lit("]\n\n"), F.col("text"))
-    rows = pages.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", marked.alias("m")))).alias("p"))
-    return rows.select("source", F.sha2(F.array_join(F.transform("p", lambda x: x["m"]), ""), 256).alias("h"))
-
-
-@query("s7_marked_pages")
-def marked_pages(spark, sf_dir):
-    """Every page of a source after its marker, with its order and digest; no source is gathered.
+    return docs(spark, sf_dir, "source", "text").select("source", "doc_id", marked.alias("marked"))
 
-    The oracle SQL of s7_marked_text holds short pages only."""
-    marked = F.concat(F.lit("\n\n[S. "), F.col("doc_id"), F.lit("]\n\n"), F.coalesce("text", F.lit("")))
-    return docs(spark, sf_dir, "source", "text").select("source", "doc_id", marked.alias("marked"), F.sha2(marked, 256).alias("h"))
 
-
-@query("w26_page_marker_asof", r"""WITH m AS (SELECT doc_id, pos, ln FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS ln FROM documents) , LATERAL (SELECT ln * 10 AS pos)),
-q AS (SELECT doc_id, unnest([15, 42, 77, 200]) AS at FROM documents)
-SELECT q.doc_id, q.at, max(m.ln) AS page FROM q LEFT JOIN m ON m.doc_id = q.doc_id AND m.pos <= q.at GROUP BY q.doc_id, q.at""")
+@query("w26_page_marker_asof", r"""WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents), m AS (SELECT doc_id, array_to_string(list_transform(p, lambda x, i: '[S. ' || (2 * i) || ']' || x), '') AS t, p FROM t),
+q AS (SELECT doc_id, t, right(trim(x, ' '), 25) AS quote, 2 * i AS page FROM (SELECT doc_id, t, unnest(p) AS x, generate_subscripts(p, 1) AS i FROM m) WHERE length(trim(x, ' ')) >= 25)
+SELECT doc_id, quote, max(CAST(k AS INT)) AS page FROM (SELECT doc_id, quote, unnest(regexp_extract_all(t[1:strpos(t, quote) - 1], '\[S\. (\d+)\]', 1)) AS k FROM (SELECT DISTINCT doc_id, t, quote FROM q)) GROUP BY ALL""")
 def page_marker_asof(spark, sf_dir):
-    """The last page marker at or before an offset: an as-of join as a running maximum.
-
-    Markers and offsets are united, and a window per document carries the last marker."""
-    rows = docs(spark, sf_dir)
-    markers = rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "x")).select(
-        "doc_id", ((F.col("i") + 1) * 10).alias("at"), (F.col("i") + 1).alias("page"), F.lit(0).alias("kind")
-    )
-    asked = rows.select("doc_id", F.explode(F.array(*map(F.lit, [15, 42, 77, 200]))).alias("at"), F.lit(None).cast("int").alias("page"), F.lit(1).alias("kind"))
-    w = Window.partitionBy("doc_id").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = markers.unionByName(asked).withColumn("page", F.last("page", ignorenulls=True).over(w))
-    return both.where("kind = 1").select("doc_id", F.col("at"), F.col("page").cast("long").alias("page"))
+    """The last marker before the first exact occurrence of a quote in a marked text."""
+    pages = F.split("text", "\n")
+    marked = F.array_join(F.transform(pages, lambda x, i: F.concat(F.lit("[S. "), (2 * (i + 1)).cast("string"), F.lit("]"), x)), "")
+    quotes = F.filter(F.transform(pages, lambda x: F.trim(x)), lambda x: F.char_length(x) >= 25)
+    rows = docs(spark, sf_dir).select("doc_id", marked.alias("t"), F.explode(F.array_distinct(F.transform(quotes, lambda x: F.right(x, F.lit(25))))).alias("quote"))
+    return rows.select("doc_id", "quote", T.marker_before(F.col("t"), F.expr("instr(t, quote)")).alias("page"))

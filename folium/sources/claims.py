@@ -21,13 +21,15 @@ def claims(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_discount") * 10).alias("cosine"),
         F.when(F.col("l_returnflag") == "A", True).when(F.col("l_returnflag") == "R", False).alias("evidence"),
         (F.pmod(F.col("l_partkey"), F.lit(7)) == 5).alias("parse_failed"),
+        F.concat_ws(" ", "l_partkey", "l_suppkey", "l_returnflag").alias("claim"),
     )
 
 
 CLAIMS_SQL = """claims AS (SELECT l_orderkey AS note, l_linenumber AS claim_idx,
   ['supported_exact','supported_paraphrase','partially_supported','not_in_context','contradicted','parse_error','retrieval_or_parse_uncertain'][l_partkey % 7 + 1] AS primary_label,
   CASE WHEN l_suppkey % 9 < 7 THEN ['supported_exact','supported_paraphrase','partially_supported','not_in_context','contradicted','parse_error','retrieval_or_parse_uncertain'][l_suppkey % 9 + 1] END AS audit_label,
-  l_discount * 10 AS cosine, CASE l_returnflag WHEN 'A' THEN true WHEN 'R' THEN false END AS evidence, l_partkey % 7 = 5 AS parse_failed FROM lineitem)"""
+  l_discount * 10 AS cosine, CASE l_returnflag WHEN 'A' THEN true WHEN 'R' THEN false END AS evidence, l_partkey % 7 = 5 AS parse_failed,
+  l_partkey || ' ' || l_suppkey || ' ' || l_returnflag AS claim FROM lineitem)"""
 
 
 def runs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,8 @@
 bounds the state, so a session is emitted once no late event can extend it.
 ``parse_lines`` turns the output lines of a run into tagged events; it needs no state.
 ``preview_blocks`` keeps the open multi-line block of each run in state and emits it when
-the next event line arrives.  ``upsert_batches`` writes the latest row of a key.
+the next event line arrives, or once the watermark says that none will.
+``upsert_batches`` writes the latest row of a key.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -59,12 +60,17 @@ def line_event(line: Column) -> Column:
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
-    """Lines (run_id, seq, value) with their event columns."""
-    return lines.withColumn("e", line_event(F.col("value"))).select("run_id", "seq", "value", "e.*")
+    """Lines with their event columns."""
+    return lines.withColumn("e", line_event(F.col("value"))).select(*lines.columns, "e.*")
 
 
-def preview_blocks(parsed: DataFrame) -> DataFrame:
-    """Blocks of consecutive log lines of a run, emitted when another event follows."""
+def preview_blocks(parsed: DataFrame, late: str = LATE, wait_ms: int = 120_000) -> DataFrame:
+    """Blocks of consecutive log lines of a run, emitted when another event follows.
+
+    Lines have an event time ``ts``.  A run's lines come in order of ``seq``; a line that
+    comes after one of a greater ``seq`` is put in its place only within its micro-batch.
+    The open block of a run without further lines is emitted when the watermark passes its
+    last line by ``wait_ms``, so the result does not depend on the clock."""
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -83,16 +89,29 @@ def preview_blocks(parsed: DataFrame) -> DataFrame:
                 held = ""
         if held:
             state.update((held,))
-            state.setTimeoutDuration(120_000)
+            last = int(rows["ts"].max().timestamp() * 1000)
+            state.setTimeoutTimestamp(max(last, state.getCurrentWatermarkMs()) + wait_ms)
         elif state.exists:
             state.remove()
         yield pd.DataFrame({"run_id": [key[0]] * len(done), "block": done})
 
-    return parsed.groupBy("run_id").applyInPandasWithState(
-        step, "run_id string, block string", "held string", "append", GroupStateTimeout.ProcessingTimeTimeout
+    return (
+        _timed(parsed).withWatermark("ts", late)
+        .groupBy("run_id")
+        .applyInPandasWithState(step, "run_id string, block string", "held string", "append", GroupStateTimeout.EventTimeTimeout)
     )
 
 
+def blocks(lines: DataFrame) -> DataFrame:
+    """(run_id, at, block) of a whole log: what the stream and its final flush emit, in batch.
+
+    A block is a run of log lines between two events; its number is that of events before."""
+    w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = parse_lines(lines).withColumn("at", F.sum((F.col("kind") != "log").cast("int")).over(w)).where("kind = 'log'")
+    part = F.array_sort(F.collect_list(F.struct("seq", "value")))
+    return rows.groupBy("run_id", "at").agg(F.array_join(F.transform(part, lambda x: x["value"]), "\n").alias("block"))
+
+
 def upsert_batches(updates: DataFrame, path: str, key: str, order: str):
     """A foreachBatch writer: the table at ``path`` keeps the latest row of each key.
 

@@ -20,28 +20,26 @@ def test_search_meets_all_vectors(spark, data, monkeypatch):
         top = sorted((-round(float(rows[q] @ v), 9), c) for c, v in rows.items() if c != q)[:5]
         best[q] = -top[0][0]
         want |= {(q, c, k, round(-d, 8)) for k, (d, c) in enumerate(top, 1) if k <= 2 or -d >= best[q] - 0.05}
-    assert {(r.q, r.c, r.k, round(r.cosine, 8)) for r in run(spark, data, "j11_claim_retrieval_all")} == want
-    assert {r.q: round(r.best, 8) for r in run(spark, data, "j13_max_cosine_all")} == {q: round(b, 8) for q, b in best.items()}
+    assert {(r.q, r.c, r.k, round(r.cosine, 8)) for r in run(spark, data, "j11_claim_retrieval")} == want
+    assert {r.q: round(r.best, 8) for r in run(spark, data, "j13_max_cosine")} == {q: round(b, 8) for q, b in best.items()}
 
 
 def test_audit_takes_all_doubtful_claims(spark, data):
+    import hashlib
+    import math
+
     from folium.plans.evaluation import decided
 
     claims = decided(spark, data).collect()
-    must = {(r.note, r.claim_idx, r.label) for r in claims if r.cosine < 0.4 or "evidence_unverified" in r.flags}
-    sample = {tuple(r) for r in run(spark, data, "w23_audit_sample")}
-    got = [tuple(r) for r in run(spark, data, "w23_audit_set")]
-    assert must - sample and len(got) == len(set(got)) and set(got) == must | sample
-
-
-def test_marked_pages_are_all_pages(spark, data):
-    import hashlib
-
-    rows = table(spark, data, "documents").collect()
-    want = sorted((r.doc_id, f"\n\n[S. {r.doc_id}]\n\n{r.text or ''}") for r in rows)
-    got = run(spark, data, "s7_marked_pages")
-    assert sorted((r.doc_id, r.marked) for r in got) == want and any(len(m) > 500 for _, m in want)
-    assert all(r.h == hashlib.sha256(r.marked.encode()).hexdigest() for r in got)
+    want, groups = set(), {}
+    for r in claims:
+        if r.cosine < 0.4 or "evidence_unverified" in r.flags:
+            want.add((r.note, r.claim_idx, r.label))
+        groups.setdefault((r.note, r.label), []).append((hashlib.sha256(f"{r.note}|{r.claim}".encode()).hexdigest(), r.claim_idx))
+    for (note, label), rows in groups.items():
+        for _, k in sorted(rows)[: max(1, math.ceil(0.02 * len(rows)))]:
+            want.add((note, k, label))
+    assert {tuple(r) for r in run(spark, data, "w23_audit_sample")} == want
 
 
 def test_lookups_read_all_parts(spark, data):
@@ -50,28 +48,6 @@ def test_lookups_read_all_parts(spark, data):
     for p in parts:
         names.setdefault(p.p_name.lower(), set()).add(p.p_partkey)
     want = {p.p_partkey: p.p_partkey if len(names[p.p_name.lower()]) == 1 else None for p in parts}
-    assert {r.p_partkey: r.path for r in run(spark, data, "j1_concept_lookup_all")} == want
-    for r in run(spark, data, "j22_caption_range_all"):
+    assert {r.p_partkey: r.path for r in run(spark, data, "j1_concept_lookup")} == want
+    for r in run(spark, data, "j22_caption_range"):
         assert r.chunk == min((p.p_partkey for p in parts if p.p_size <= r.page <= p.p_size + 3), default=None)
-
-
-def test_keys_cells_and_anchors_read_whole_texts(spark, data):
-    import re
-
-    from folium.plans.notes import sentence_rows
-
-    pages = {r.page_id: r.html.replace("\\", "\\\\").replace("|", "\\|").replace("\n", " ") for r in table(spark, data, "pages").collect()}
-    assert {r.page_id: r.c for r in run(spark, data, "f68_cell_escape_all")} == pages and max(map(len, pages.values())) > 200
-    rows = sentence_rows(spark, data).collect()
-    keys = {(r.doc_id, r.pos): r.k for r in run(spark, data, "f3_sentence_key_all")}
-    anchor = re.compile(r"\(S\. \d+(-\d+)?\)")
-    hits, held = {}, {}
-    for r in rows:
-        assert "".join(keys[r.doc_id, r.pos].split()) == "".join(anchor.sub("", r.s).lower().split())
-        hits.setdefault(r.source, []).append(bool(anchor.search(r.s)))
-        held[r.doc_id] = held.get(r.doc_id, "") + r.s
-    for r in table(spark, data, "documents").collect():
-        whole = (r.text or "") + (" (S. 5)" if r.doc_id % 3 == 0 else "")
-        assert "".join(held.get(r.doc_id, "").split()) == "".join(whole.split())
-    got = {r.source: r.rate for r in run(spark, data, "a40_anchor_rate_all")}
-    assert got == {k: round(sum(v) / len(v), 6) for k, v in hits.items()} and max(got.values()) > 0
