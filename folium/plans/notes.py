@@ -176,28 +176,6 @@ def cell_escape(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", N.table_cell(F.col("html")).alias("c"))
 
 
-@query("f83_context_pool", "SELECT conv_id, turn, dense_rank() OVER (PARTITION BY conv_id ORDER BY first) AS k FROM (SELECT conv_id, turn, min(turn) OVER (PARTITION BY conv_id, role) AS first FROM conversations)")
-def context_pool(spark, sf_dir):
-    """Numbers of distinct contexts (here: roles) in the order of first use."""
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
-    first = rows.groupBy("conv_id", "role").agg(F.min("turn").alias("first"))
-    k = F.dense_rank().over(Window.partitionBy("conv_id").orderBy("first"))
-    return rows.join(first.withColumn("k", k.cast("long")), ["conv_id", "role"]).select("conv_id", "turn", "k")
-
-
-@query("p20_dedup_eligible", "SELECT p_partkey FROM part WHERE p_type NOT IN ('ECONOMY', 'PROMO', 'STANDARD')")
-def dedup_eligible(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(~F.col("p_type").isin("ECONOMY", "PROMO", "STANDARD")).select("p_partkey")
-
-
-@query("p39_header_line", "SELECT p_partkey, p_retailprice > 1.15 * (SELECT avg(p_retailprice) FROM part) OR regexp_matches(p_name, '^(small|large) ') AS header FROM part")
-def header_line(spark, sf_dir):
-    """Font sizes (here: prices) well above the mean, or a heading pattern."""
-    part = table(spark, sf_dir, "part")
-    mean = F.broadcast(part.agg(F.avg("p_retailprice").alias("m")))  # one row
-    return part.crossJoin(mean).select("p_partkey", ((F.col("p_retailprice") > 1.15 * F.col("m")) | F.col("p_name").rlike("^(small|large) ")).alias("header"))
-
-
 @query("u8_notes_union", "SELECT doc_id AS key FROM documents UNION SELECT item_id FROM benchmark UNION SELECT conv_id FROM conversations")
 def notes_union(spark, sf_dir):
     key = lambda t, c: table(spark, sf_dir, t).select(F.col(c).alias("key"))
@@ -220,7 +198,3 @@ def anchor_rate(spark, sf_dir):
     return sentence_rows(spark, sf_dir).groupBy("source").agg(F.round(F.avg(hit), 6).alias("rate"))
 
 
-@query("f94_yes_no", "SELECT p_partkey, p_size % 6 < 5 AS yes FROM part")
-def yes_no(spark, sf_dir):
-    given = F.element_at(F.array(*map(F.lit, ["true", "YES", "1", " t ", "y", "no"])), (F.col("p_size") % 6 + 1).cast("int"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.lower(F.trim(given)).isin("true", "yes", "1", "t", "y").alias("yes"))

@@ -17,82 +17,6 @@ def part(spark, sf_dir):
     return table(spark, sf_dir, "part")
 
 
-@query(
-    "f23_nli_label",
-    """SELECT p_partkey, CASE WHEN c >= 0.5 AND e < 0.4 THEN 'contradiction' WHEN e >= 0.7 THEN 'confirmed' WHEN e >= 0.4 THEN 'uncertain' ELSE 'hallucinated' END AS label
-FROM (SELECT p_partkey, p_size % 11 / 10.0 AS e, p_partkey % 11 / 10.0 AS c FROM part)""",
-)
-def nli_label(spark, sf_dir):
-    e, c = F.col("p_size") % 11 / 10.0, F.col("p_partkey") % 11 / 10.0
-    label = F.when((c >= 0.5) & (e < 0.4), "contradiction").when(e >= 0.7, "confirmed").when(e >= 0.4, "uncertain").otherwise("hallucinated")
-    return part(spark, sf_dir).select("p_partkey", label.alias("label"))
-
-
-@query(
-    "f24_nli_override",
-    """SELECT p_partkey, CASE WHEN p_partkey % 11 / 10.0 >= 0.3 THEN 'hallucinated' WHEN p_size % 11 / 10.0 >= 0.7 THEN 'confirmed' ELSE p_type END AS label FROM part""",
-)
-def nli_override(spark, sf_dir):
-    label = F.when(F.col("p_partkey") % 11 / 10.0 >= 0.3, "hallucinated").when(F.col("p_size") % 11 / 10.0 >= 0.7, "confirmed")
-    return part(spark, sf_dir).select("p_partkey", label.otherwise(F.col("p_type")).alias("label"))
-
-
-@query(
-    "f21_anchor_score",
-    """SELECT p_partkey, round(s, 6) AS score, CASE WHEN s >= CASE WHEN x THEN 0.7 ELSE 0.85 END THEN 'ok' WHEN s >= CASE WHEN x THEN 0.5 ELSE 0.7 END THEN 'weak' ELSE 'bad' END AS verdict
-FROM (SELECT p_partkey, x, CASE WHEN x THEN sem ELSE 0.8 * fz + 0.2 * sem END AS s FROM (SELECT p_partkey, p_size % 2 = 0 AS x, p_size % 101 / 100.0 AS fz, p_partkey % 101 / 100.0 AS sem FROM part))""",
-)
-def anchor_score(spark, sf_dir):
-    """Lexical and semantic parts 0.8 to 0.2; across languages the semantic part alone."""
-    across, fuzzy, semantic = F.col("p_size") % 2 == 0, F.col("p_size") % 101 / 100.0, F.col("p_partkey") % 101 / 100.0
-    s = F.when(across, semantic).otherwise(0.8 * fuzzy + 0.2 * semantic)
-    verdict = F.when(s >= F.when(across, 0.7).otherwise(0.85), "ok").when(s >= F.when(across, 0.5).otherwise(0.7), "weak").otherwise("bad")
-    return part(spark, sf_dir).select("p_partkey", F.round(s, 6).alias("score"), verdict.alias("verdict"))
-
-
-@query(
-    "f32_confidence",
-    """SELECT doc_id, CASE WHEN n >= 4 THEN 'high' WHEN n = 3 THEN 'medium' ELSE 'low' END AS level, 4 - n AS n_reasons FROM (
-  SELECT doc_id, 4 - (CASE WHEN doc_id % 3 = 0 OR doc_id % 7 < 3 THEN 1 ELSE 0 END) - (CASE WHEN doc_id % 5 = 0 THEN 1 ELSE 0 END)
-  - (CASE WHEN lang <> 'en' THEN 1 ELSE 0 END) - (CASE WHEN n_chars < 500 THEN 1 ELSE 0 END) AS n FROM documents)""",
-)
-def confidence(spark, sf_dir):
-    """Four components; each that fails gives a reason."""
-    reasons = F.array_compact(
-        F.array(
-            F.when(F.col("doc_id") % 3 == 0, "method").when(F.col("doc_id") % 7 < 3, "few citations"),
-            F.when(F.col("doc_id") % 5 == 0, "contradiction"),
-            F.when(F.col("lang") != "en", "single source"),
-            F.when(F.col("n_chars") < 500, "few anchors"),
-        )
-    )
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.size(reasons).cast("long").alias("r"))
-    level = F.when(F.col("r") == 0, "high").when(F.col("r") == 1, "medium").otherwise("low")
-    return rows.select("doc_id", level.alias("level"), F.col("r").cast("int").alias("n_reasons"))
-
-
-@query(
-    "p24_refine_decision",
-    """SELECT doc_id, (n_chars % 6) < 4 AND lang <> 'es' AS attempt, CASE WHEN lang = 'es' THEN 'policy' WHEN n_chars % 6 >= 4 THEN 'good' WHEN n_chars % 6 = 3 THEN 'band' ELSE 'low' END AS reason FROM documents""",
-)
-def refine_decision(spark, sf_dir):
-    score = F.col("n_chars") % 6
-    reason = F.when(F.col("lang") == "es", "policy").when(score >= 4, "good").when(score == 3, "band").otherwise("low")
-    return table(spark, sf_dir, "documents").select("doc_id", ((score < 4) & (F.col("lang") != "es")).alias("attempt"), reason.alias("reason"))
-
-
-@query(
-    "p21_vault_routing",
-    """SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN false WHEN n_chars % 5 = 0 AND NOT n_chars > 3000 THEN false ELSE n_chars % 7 >= 4 END AS auto,
-  CASE WHEN doc_id % 11 = 0 THEN 'edition' WHEN n_chars % 5 = 0 AND NOT n_chars > 3000 THEN 'gate' WHEN n_chars % 7 >= 4 THEN 'ok' ELSE 'score' END AS reason FROM documents""",
-)
-def vault_routing(spark, sf_dir):
-    """Unverified editions stay out; a failed gate needs a strong hub; then the score decides."""
-    edition, gate, score = F.col("doc_id") % 11 == 0, (F.col("n_chars") % 5 == 0) & ~(F.col("n_chars") > 3000), F.col("n_chars") % 7 >= 4
-    reason = F.when(edition, "edition").when(gate, "gate").when(score, "ok").otherwise("score")
-    return table(spark, sf_dir, "documents").select("doc_id", (reason == "ok").alias("auto"), reason.alias("reason"))
-
-
 @query("p17_tag_schema", r"SELECT DISTINCT tag, regexp_full_match(tag, '[a-z0-9]+(-[a-z0-9]+)*(/[a-z0-9]+(-[a-z0-9]+)*){0,2}') AS ok FROM (SELECT lower(p_type) || '/' || replace(p_name, ' ', '-') || '/' || p_brand AS tag FROM part UNION ALL SELECT replace(p_name, ' ', '--') FROM part UNION ALL SELECT replace(p_name, ' ', '-') FROM part)")
 def tag_schema(spark, sf_dir):
     """Kebab case, three levels at most, no double hyphen."""
@@ -114,13 +38,6 @@ def null_word(spark, sf_dir):
     return part(spark, sf_dir).select("p_partkey", T.null_word(v).alias("v"))
 
 
-@query("f87_traffic_light", "SELECT p_partkey, CASE WHEN p_size % 9 = 0 THEN 'none' WHEN p_size / 50.0 >= 0.7 THEN 'green' WHEN p_size / 50.0 >= 0.4 THEN 'yellow' ELSE 'red' END AS light FROM part")
-def traffic_light(spark, sf_dir):
-    x = F.when(F.col("p_size") % 9 == 0, F.lit(float("nan"))).otherwise(F.col("p_size") / 50.0)
-    light = F.when(F.isnan(x), "none").when(x >= 0.7, "green").when(x >= 0.4, "yellow").otherwise("red")
-    return part(spark, sf_dir).select("p_partkey", light.alias("light"))
-
-
 @query("f111_yaml_list", """SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '[]' ELSE '["' || replace(p_name, '"', '\\"') || '", "' || p_brand || '"]' END AS y FROM part""")
 def yaml_list(spark, sf_dir):
     items = F.when(F.col("p_size") % 5 == 0, F.array().cast("array<string>")).otherwise(F.array("p_name", "p_brand"))
@@ -128,13 +45,6 @@ def yaml_list(spark, sf_dir):
     return part(spark, sf_dir).select("p_partkey", F.concat(F.lit("["), F.array_join(quoted, ", "), F.lit("]")).alias("y"))
 
 
-@query("f86_label_cell", r"""SELECT doc_id, nullif(regexp_extract(lower(cell), '^\s*(?:<!--claim_idx=\d+-->)?\s*([sh?])\s*$', 1), '') AS label FROM (
-  SELECT doc_id, '<!--claim_idx=' || doc_id || '--> ' || CASE quality WHEN 1 THEN 'S' ELSE CASE toxic WHEN 1 THEN 'h' ELSE 'maybe' END END AS cell FROM labels)""")
-def label_cell(spark, sf_dir):
-    cell = F.concat(F.lit("<!--claim_idx="), "doc_id", F.lit("--> "), F.when(F.col("quality") == 1, "S").when(F.col("toxic") == 1, "h").otherwise("maybe"))
-    return table(spark, sf_dir, "labels").select("doc_id", T.first_group(F.lower(cell), r"^\s*(?:<!--claim_idx=\d+-->)?\s*([sh?])\s*$").alias("label"))
-
-
 @query(
     "s19_run_log",
     r"""WITH l AS (SELECT doc_id, '[' || source || '] ' || CASE WHEN n_chars % 3 = 0 THEN '→ Vault' WHEN n_chars % 3 = 1 THEN '→ Inbox (score ' || n_chars % 5 || ')' ELSE 'words: ' || n_chars END AS line FROM documents)
@@ -188,16 +98,6 @@ def append_missing(spark, sf_dir):
     return known.unionByName(rest, allowMissingColumns=True)
 
 
-@query(
-    "w9_context_expansion",
-    "SELECT conv_id, turn, lag(role) OVER w AS before, lead(role) OVER w AS after FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)",
-)
-def context_expansion(spark, sf_dir):
-    """A chunk with its neighbours (here: turns of a conversation)."""
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lag("role").over(w).alias("before"), F.lead("role").over(w).alias("after"))
-
-
 @query(
     "p38_concept_cap",
     "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS k FROM conversations) WHERE role <> 'user' OR k <= 2",
