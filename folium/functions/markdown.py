@@ -12,7 +12,8 @@ from folium.functions.text import strip, words
 ANCHOR = r"\(S\.\s*\d+(?:\s*[\-–,]\s*(?:S\.\s*)?\d+)*\)"
 BLOCK = r"^(- |\* |> |#|\|)"
 TRAILING = 240
-_EDGE = r"(?<=[.!?])\s+"
+_EDGE = r"(?<=[.!?])\s+(?=[A-ZÄÖÜ])"
+_EDGE_QUOTED = r"(?<=[.!?])\s+(?=[A-ZÄÖÜ\"„])"
 
 
 def blocks(body: Column) -> Column:
@@ -32,7 +33,7 @@ def short_pieces(body: Column) -> Column:
 
 
 def sentence_key(sentence: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(sentence, r"\(S\. \d+(-\d+)?\)", ""), r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(F.regexp_replace(sentence, r"\s*\(S\.?\s*\d+(?:[–\-]\d+)?\)", ""), r"\s+", " ")))
 
 
 def without_sentences(body: Column, keys: Column) -> Column:
@@ -51,7 +52,7 @@ def with_trailing_anchors(body: Column) -> Column:
 
     def repaired(paragraph: Column) -> Column:
         p = strip(paragraph)
-        cut = F.split(p, _EDGE)
+        cut = F.split(p, _EDGE_QUOTED)
         n = F.size(cut)
         last, anchor = strip(F.try_element_at(cut, F.lit(-1))), last_anchor(F.get(cut, n - 2))
         apply = ~p.rlike(BLOCK) & (n >= 2) & (last != "") & (F.char_length(last) <= TRAILING) & ~last.rlike(ANCHOR) & anchor.isNotNull()
@@ -98,7 +99,7 @@ def with_links(body: Column, mentions: Column) -> Column:
 
     def add(state: Column, m: Column) -> Column:
         bare = F.concat(F.lit(r"(?isu)\A(.*?)(?<!\[)(?<![\p{L}\p{N}_])"), quoted(m["key"]), F.lit(r"(?![\p{L}\p{N}_])(?!\])"))
-        hit = state["t"].rlike(bare) & ~F.array_contains(state["done"], m["title"])
+        hit = F.rlike(state["t"], bare) & ~F.array_contains(state["done"], m["title"])
         text = F.regexp_replace(state["t"], bare, F.concat(F.lit("$1[["), F.regexp_replace(m["title"], r"([\\$])", r"\\$1"), F.lit("]]")))
         return F.struct(F.when(hit, text).otherwise(state["t"]).alias("t"), F.when(hit, F.array_append(state["done"], m["title"])).otherwise(state["done"]).alias("done"))
 
@@ -143,7 +144,7 @@ def perturbed(body: Column, claim: Column, other: Column) -> Column:
     """A body with a claim's first occurrence replaced, white space apart; null where it does not occur."""
     loose = F.array_join(F.transform(words(claim), quoted), r"\\s+")
     pattern = F.concat(F.lit(r"(?s)\A(.*?)"), F.replace(loose, F.lit(r"\\s+"), F.lit(r"\s+")))
-    return F.when(body.rlike(pattern), F.regexp_replace(body, pattern, F.concat(F.lit("$1"), F.regexp_replace(other, r"([\\$])", r"\\$1"))))
+    return F.when(F.rlike(body, pattern), F.regexp_replace(body, pattern, F.concat(F.lit("$1"), F.regexp_replace(other, r"([\\$])", r"\\$1"))))
 
 
 def trimmed(text: Column, radius: int = 500) -> Column:

@@ -11,6 +11,11 @@ def page_anchor(sentence: Column, page: Column) -> Column:
     return F.concat(sentence, F.lit(" (S. "), page.cast("string"), F.lit(")"))
 
 
+def page_anchors(sentences: Column, pages: Column) -> Column:
+    """Sentences with their pages; those beyond the list take the last page."""
+    return F.transform(sentences, lambda s, i: page_anchor(s, F.get(pages, F.least(i, F.size(pages) - 1))))
+
+
 def strip_anchors(text: Column) -> Column:
     return F.regexp_replace(text, r"\s*\(S\. \d+(?:-\d+)?\)", "")
 
@@ -32,11 +37,54 @@ def footnotes_by_page(sentences: Column, pages: Column) -> Column:
 
 def note(title: Column, tags: Column, body: Column) -> Column:
     """A note with frontmatter, and the hash of its content in it."""
-    plain = F.concat(F.lit("---\ntitle: "), title, F.lit("\ntags: "), yaml_list(tags), F.lit("\n---\n\n# "), title, F.lit("\n\n"), body, F.lit("\n"))
+    return with_hash(F.concat(F.lit("---\ntitle: "), title, F.lit("\ntags: "), yaml_list(tags), F.lit("\n---\n\n# "), title, F.lit("\n\n"), body, F.lit("\n")))
+
+
+def with_hash(plain: Column) -> Column:
+    """A note with the hash of its content as the first line of its frontmatter."""
     h = F.substring(F.sha2(plain, 256), 1, 16)
     return F.regexp_replace(plain, r"\A---\n", F.concat(F.lit("---\ncontent_hash: "), h, F.lit("\n")))
 
 
+def stored_hash(content: Column) -> Column:
+    return F.nullif(F.regexp_extract(content, r"(?m)^content_hash: (\w+)$", 1), F.lit(""))
+
+
+def merge_stub(title: Column, target: Column, body: Column) -> Column:
+    """A note that points at the one it is to be merged with."""
+    link = F.concat(F.lit("[["), target, F.lit("]]"))
+    head = F.concat(F.lit('---\ntype: merge-stub\nmerge-target: "'), link, F.lit('"\n---\n\n# '), title)
+    return F.concat(head, F.lit("\n\n- Bestehend: "), link, F.lit("\n- Neu: "), title, F.lit("\n\n"), body, F.lit("\n"))
+
+
+#: A paragraph with so many links to components and so few words a link only lists them.
+LISTED, WORDS_A_LINK = 3, 25
+
+
+def hub(title: Column, body: Column, subs: Column) -> Column:
+    """A hub note: prose, then the components (title, description) as a numbered list.
+
+    A paragraph that enumerates the components goes."""
+    links = lambda p: F.size(F.filter(subs, lambda s: F.contains(p, F.concat(F.lit("[["), s["title"]))))
+    words = lambda p: F.size(F.filter(F.split(p, r"\s+"), lambda w: w != ""))
+    prose = F.filter(F.split(body, "\n\n"), lambda p: ~((links(p) >= LISTED) & (words(p) <= WORDS_A_LINK * links(p))))
+    item = lambda s, i: F.concat(
+        (i + 1).cast("string"), F.lit(". [["), s["title"], F.lit("]]"), F.when(s["description"] != "", F.concat(F.lit(": "), s["description"])).otherwise("")
+    )
+    listed = F.array_join(F.transform(subs, item), "\n")
+    return F.concat(F.lit("# "), title, F.lit("\n\n"), F.array_join(prose, "\n\n"), F.lit("\n\n## Komponenten\n\n"), listed, F.lit("\n"))
+
+
+def tag_list(near: Column, rest: Column) -> Column:
+    """Tags as bullets, those near the source first; each part in name order."""
+    bullets = lambda tags: F.array_join(F.transform(F.array_sort(tags), lambda t: F.concat(F.lit("- "), t)), "\n")
+    return F.concat_ws(
+        "\n\n",
+        F.when(F.size(near) > 0, F.concat(F.lit("**Nah:**\n"), bullets(near))),
+        F.when(F.size(rest) > 0, F.concat(F.lit("**Übrige:**\n"), bullets(rest))),
+    )
+
+
 def pristine(content: Column) -> Column:
     """Whether a note still has the content that its hash was made of; none says no."""
     stored = F.regexp_extract(content, r"(?m)^content_hash: (\w+)$", 1)
