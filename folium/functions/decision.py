@@ -115,3 +115,9 @@ def audited(decided: DataFrame, note: str) -> DataFrame:
     doubtful = (F.col("cosine") < LOW_COSINE) | F.array_contains("flags", "evidence_unverified")
     rows = decided.withColumns({"_pick": k <= F.greatest(F.lit(1), F.ceil(AUDIT_SHARE * n)), "_doubt": doubtful})
     return rows.where("_pick or _doubt").drop("_pick", "_doubt")
+
+
+def verdict_of(label: Column) -> Column:
+    """A label as a rater's verdict: s for support, h for none, ? for what could not be told."""
+    supported = label.isin("supported_exact", "supported_paraphrase", "partially_supported")
+    return F.when(supported, "s").when(label.isin("not_in_context", "contradicted"), "h").otherwise("?")
