@@ -6,9 +6,9 @@ FLAGSHIP = "a8_claim_aggregate"
 
 
 def _modules():
-    from folium.plans import acronyms, drafts, evaluation, evidence, joins, markdown, names, notes, pages, parsing, raters, rates, retrieval, rules, texts, traces, trends
+    from folium.plans import acronyms, drafts, evaluation, evidence, joins, markdown, names, notes, pages, parsing, raters, rates, retrieval, rules, stores, texts, traces, trends
 
-    return [acronyms, drafts, evaluation, evidence, joins, markdown, names, notes, pages, parsing, raters, rates, retrieval, rules, texts, traces, trends]
+    return [acronyms, drafts, evaluation, evidence, joins, markdown, names, notes, pages, parsing, raters, rates, retrieval, rules, stores, texts, traces, trends]
 
 
 def queries() -> dict:

@@ -20,10 +20,14 @@ def json_lines(spark: SparkSession, path: str, schema: str = TRACE_SCHEMA, stric
 
 def run_logs(spark: SparkSession, path: str) -> DataFrame:
     """(key, version, value): the lines of log files named ``<key>_<version>.log``."""
-    name = F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.log$", 1)
-    lines = spark.read.text(path)
+    return log_lines(spark.read.text(path).select(F.col("_metadata.file_name").alias("name"), "value")).drop("name")
+
+
+def log_lines(lines: DataFrame) -> DataFrame:
+    """Lines (name, value) of log files with the key and version of the name."""
+    stem = F.regexp_extract("name", r"^(.*)\.log$", 1)
     return lines.select(
-        F.regexp_extract(name, r"^(.*)_(v[\d.]+)$", 1).alias("key"), F.regexp_extract(name, r"^(.*)_(v[\d.]+)$", 2).alias("version"), "value"
+        "name", F.regexp_extract(stem, r"^(.*)_(v[\d.]+)$", 1).alias("key"), F.regexp_extract(stem, r"^(.*)_(v[\d.]+)$", 2).alias("version"), "value"
     )
 
 
@@ -76,6 +80,11 @@ def notes(spark: SparkSession, path: str) -> DataFrame:
         spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), "value")
     )
+    return note_rows(files)
+
+
+def note_rows(files: DataFrame) -> DataFrame:
+    """(path, title, aliases, meta, body) of markdown files (path, value)."""
     meta = frontmatter(F.col("value"))
     rows = files.select("path", meta.alias("meta"), note_body(F.col("value")).alias("body"))
     stem = F.regexp_extract("path", r"([^/]+)\.md$", 1)
@@ -105,8 +114,12 @@ def link_graph(found: DataFrame) -> DataFrame:
 
 def label_cells(spark: SparkSession, path: str) -> DataFrame:
     """(file, claim_idx, label): the cells of calibration tables, s, h or ?."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value").where(F.col("value").contains("claim_idx="))
-    return lines.select(
+    return cells(spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value"))
+
+
+def cells(lines: DataFrame) -> DataFrame:
+    """The label cells among lines (file, value)."""
+    return lines.where(F.col("value").contains("claim_idx=")).select(
         "file",
         F.regexp_extract("value", r"<!--claim_idx=(\d+)-->", 1).cast("int").alias("claim_idx"),
         F.lower(first_group(F.col("value"), r"(?i)<!--claim_idx=\d+-->\s*([sh?])\s*\|")).alias("label"),
