@@ -46,6 +46,8 @@ SHARD_ROWS = 1 << 15
 KEY = 77_031
 #: Partitions of the shuffle at most; a partition writes whole shards.
 MAX_RANGES = 20_000
+_RUNS = ("  ", "\n\n", " \n", "\n ")
+_OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 RECORD = np.dtype([("id", "<i8"), ("seq", "<i4"), ("n", "<i4"), ("ids", "<u2", (LENGTH,)), ("end", "u1")])
 
 
@@ -83,10 +85,22 @@ class TokenIds:
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
-            self.one = tiktoken.Encoding("ranks", pat_str=TokenIds.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            make = lambda p: tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={})
+            self.one, self.plain = make(TokenIds.PATTERN), make(TokenIds.PATTERN.replace(r"|\s+(?!\S)", ""))
+
+        @staticmethod
+        def is_plain(text: str) -> bool:
+            """Whether all white space is single blanks and line feeds.  The pattern then needs no
+            look-ahead: it only splits a run of white space before a word."""
+            return not (any(r in text for r in _RUNS) or any(c in text for c in _OTHER_SPACE))
 
         def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-            return [self.one.encode_to_numpy(t or "", disallowed_special=()).astype("<u4").tobytes() for t in texts]
+            out = []
+            for t in texts:
+                t = t or ""
+                found = (self.plain if self.is_plain(t) else self.one).encode_to_numpy(t, disallowed_special=())
+                out.append(found.astype("<u4").tobytes())
+            return out
 
 
 def records(doc_id: int | None, ids: bytes) -> np.ndarray:

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -126,5 +127,8 @@ def test_token_ids_equal_the_library(spark):
 
     library = Tokenizer.from_file(default_vocabulary())
     texts = ["", "hello  world\n\n I'll x", "é日本😀 12³", "x" * 3000, " \t\n a"]
+    rnd = random.Random(1)
+    pool = ["a", "é", " ", "\n", "日本", "\t", "12", ".", "'s", "word", "\u3000", "\xa0", "\x1c", "\x00", "B,", "(", " x"]
+    texts += ["".join(rnd.choice(pool) for _ in range(rnd.randint(1, 30))) for _ in range(2000)]
     for t, got in zip(texts, training_order.TokenIds(spark).encoder().encode_batch(texts), strict=True):
         assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
