@@ -128,3 +128,16 @@ def upsert_batches(updates: DataFrame, path: str, key: str, order: str):
         latest.write.mode("overwrite").parquet(f"{path}/v={batch_id}")
 
     return updates.writeStream.outputMode("append").foreachBatch(write)
+
+
+def run_events(lines: DataFrame) -> DataFrame:
+    """(run_id, place, kind, detail): the events of a finished run's lines, and its exit behind them."""
+    seen = parse_lines(lines).select("run_id", F.struct(F.lit(0).alias("end"), "seq").alias("place"), "kind", "detail")
+    last = lines.groupBy("run_id").agg(F.max("seq").alias("seq"))
+    end = last.select("run_id", F.struct(F.lit(1).alias("end"), "seq").alias("place"), F.lit("exited").alias("kind"), F.lit(None).cast("string").alias("detail"))
+    return seen.unionByName(end)
+
+
+def admitted(requests: DataFrame, key: str, order: str) -> DataFrame:
+    """The first request of each key: one session at a time."""
+    return requests.groupBy(key).agg(F.min(order).alias(order))
