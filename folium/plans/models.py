@@ -211,8 +211,8 @@ def markers(spark, sf_dir):
     return R.parse_lines(run_lines(spark, sf_dir)).where("kind in ('vault', 'inbox', 'merge')").select("seq", "kind", "detail")
 
 
-@query("st2_blocks", """WITH l AS (SELECT source AS run_id, doc_id AS seq, n_chars % 6 >= 4 AS log, sum(CASE WHEN n_chars % 6 < 4 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id) AS at FROM documents)
-SELECT run_id, at::BIGINT AS at, string_agg('text ' || seq, chr(10) ORDER BY seq) AS block FROM l WHERE log GROUP BY run_id, at""")
+@query("st2_blocks", """WITH l AS (SELECT source AS run_id, doc_id AS seq, n_chars % 6 >= 4 AS log, sum(CASE WHEN n_chars % 6 < 4 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents)
+SELECT run_id, k::BIGINT AS "at", string_agg('text ' || seq, chr(10) ORDER BY seq) AS block FROM l WHERE log GROUP BY run_id, k""")
 def final_blocks(spark, sf_dir):
     """Blocks of a run's log, with those that are open at its end."""
     return R.blocks(run_lines(spark, sf_dir))

@@ -42,7 +42,7 @@ def _get(json: Column, path: str) -> Column:
 def _work(title: Column, author: Column, year: Column, doi: Column, kind: Column, known: Column) -> Column:
     text = lambda c: F.coalesce(c, F.lit(""))
     return F.when(
-        known, F.struct(text(title).alias("title"), text(author).alias("author"), year.cast("int").alias("year"), text(doi).alias("doi"), text(kind).alias("type"))
+        known, F.struct(text(title).alias("title"), text(author).alias("author"), year.try_cast("int").alias("year"), text(doi).alias("doi"), text(kind).alias("type"))
     )
 
 
@@ -101,12 +101,12 @@ def tei_header(xml: Column) -> Column:
 
 def start_page(json: Column) -> Column:
     """The first number of a page range."""
-    return F.nullif(F.regexp_extract(_get(json, "$.page"), r"^\s*(\d+)", 1), F.lit("")).cast("int")
+    return F.nullif(F.regexp_extract(_get(json, "$.page"), r"^\s*(\d+)", 1), F.lit("")).try_cast("int")
 
 
 def issued_year(json: Column) -> Column:
     """The year of the first date that a record has."""
-    return F.coalesce(*[_get(json, f"$.{k}.date-parts[0][0]") for k in ("issued", "published-print", "published-online")]).cast("int")
+    return F.coalesce(*[F.nullif(_get(json, f"$.{k}.date-parts[0][0]"), F.lit("null")) for k in ("issued", "published-print", "published-online")]).try_cast("int")
 
 
 def quality(doi: Column, crossref_json: Column, openalex_json: Column) -> Column:
