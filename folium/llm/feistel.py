@@ -7,7 +7,8 @@ A value outside 0..n-1 walks on through the permutation until it falls inside:
 at most ``a*b - n`` steps, because a walk never meets an outside cell twice.
 
 ``permute`` builds the Spark expression (JVM only); ``permute_number`` is the
-same function on Python integers, for readers that locate a row without Spark.
+same function on Python integers, for readers that locate a row without Spark, and
+``permute_array`` on arrays, for workers that number rows.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from __future__ import annotations
 import math
 import struct
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -89,6 +91,42 @@ def _hash(key: int, rnd: int, value: int) -> int:
     return seed - (1 << 64) if seed >> 63 else seed
 
 
+_P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
+
+
+def _hash_array(key: int, rnd: int, values: np.ndarray) -> np.ndarray:
+    """``_hash`` of whole numbers from 0, as signed 64-bit integers."""
+    import xxhash
+
+    seed = 42
+    for x in (key, rnd):
+        seed = xxhash.xxh64_intdigest(struct.pack("<i", x), seed=seed)
+    turn = lambda x, k: (x << np.uint64(k)) | (x >> np.uint64(64 - k))
+    start = np.uint64((seed + int(_P[4]) + 8) & 0xFFFFFFFFFFFFFFFF)
+    h = start ^ (turn(values.astype(np.uint64) * _P[1], 31) * _P[0])
+    h = turn(h, 27) * _P[0] + _P[3]
+    h = (h ^ (h >> np.uint64(33))) * _P[1]
+    h = (h ^ (h >> np.uint64(29))) * _P[2]
+    return (h ^ (h >> np.uint64(32))).view(np.int64)
+
+
+def permute_array(numbers: np.ndarray, n: int, key: int) -> np.ndarray:
+    """``permute`` for an array of row numbers."""
+    a, b = _sides(n)
+    out = np.asarray(numbers, dtype=np.int64).copy()
+    live = np.arange(len(out))
+    while len(live):
+        left, right = np.divmod(out[live], b)
+        for rnd in range(ROUNDS):
+            if rnd % 2 == 0:
+                left = (left + _hash_array(key, rnd, right) % a) % a
+            else:
+                right = (right + _hash_array(key, rnd, left) % b) % b
+        out[live] = left * b + right
+        live = live[out[live] >= n]
+    return out
+
+
 def permute_number(number: int, n: int, key: int) -> int:
     """``permute`` for one Python integer."""
     a, b = _sides(n)

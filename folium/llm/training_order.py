@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm.common import shared_dir, text_of
-from folium.llm.feistel import permute
+from folium.llm.feistel import permute_array
 
 LENGTH = 512
 PAD = 50_256
@@ -56,7 +56,7 @@ class TokenIds:
 
     Strings of special tokens are ordinary text, so ``PAD`` occurs as padding only.
     Any object with ``encoder().encode_batch(texts)`` can take its place, such as the
-    codec of operator 5."""
+    codec of operator 5, which returns the bytes of the ids."""
 
     PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -94,18 +94,22 @@ class TokenIds:
             look-ahead: it only splits a run of white space before a word."""
             return not (any(r in text for r in _RUNS) or any(c in text for c in _OTHER_SPACE))
 
-        def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        def encode_batch(self, texts: list[str | None]) -> list[np.ndarray]:
             out = []
             for t in texts:
                 t = t or ""
-                found = (self.plain if self.is_plain(t) else self.one).encode_to_numpy(t, disallowed_special=())
-                out.append(found.astype("<u4").tobytes())
+                out.append((self.plain if self.is_plain(t) else self.one).encode_to_numpy(t, disallowed_special=()))
             return out
 
 
-def records(doc_id: int | None, ids: bytes) -> np.ndarray:
-    """The records of one text from its ids (unsigned 32-bit, little-endian)."""
-    flat = np.frombuffer(ids, dtype="<u4")
+def flat_ids(ids: np.ndarray | bytes) -> np.ndarray:
+    """Ids of a text, given as an array or as unsigned 32-bit little-endian bytes."""
+    return ids if isinstance(ids, np.ndarray) else np.frombuffer(ids, dtype="<u4")
+
+
+def records(doc_id: int | None, ids: np.ndarray | bytes) -> np.ndarray:
+    """The records of one text from its ids."""
+    flat = flat_ids(ids)
     if len(flat) and flat.max() > 65_535:
         raise ValueError("a record holds ids of 16 bits")
     n = -(-len(flat) // LENGTH)
@@ -153,7 +157,7 @@ def run_counts(docs: DataFrame, codec: TokenIds, id_col: str, text_col: str) ->
                 short = [len(t) <= LENGTH and len(t.encode("utf-8", "surrogatepass")) <= LENGTH for t in part]
                 n = sum(1 for t, s in zip(part, short, strict=True) if s and t)
                 for ids in encoder.encode_batch([t for t, s in zip(part, short, strict=True) if not s]):
-                    n += -(-len(ids) // (4 * LENGTH))
+                    n += -(-len(flat_ids(ids)) // LENGTH)
                 if found and found[-1][0] == file:
                     found[-1][2] += n
                 else:
@@ -205,12 +209,12 @@ def materialise(
             body = flat.view(np.uint8).reshape(n, STRIDE)[:, :-1] if n else np.zeros((0, STRIDE - 1), dtype=np.uint8)
             offsets = pa.py_buffer((np.arange(n + 1) * (STRIDE - 1)).astype(np.int32))
             data = pa.Array.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(np.ascontiguousarray(body))])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows), pa.int64()), data], ["row", "record"])
+            slots = permute_array(np.concatenate(rows), total, key)
+            yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), data], ["slot", "record"])
 
     shards = -(-total // shard_rows)
     ranges = min(MAX_RANGES, shards)
-    placed = _rows(docs, id_col, text_col).mapInArrow(emit, "row long, record binary")
-    placed = placed.select(permute(F.col("row"), total, key).alias("slot"), "record")
+    placed = _rows(docs, id_col, text_col).mapInArrow(emit, "slot long, record binary")
     div = lambda a, b: F.call_function("div", a, F.lit(b).cast("long"))
     (
         placed.withColumn("shard", div(F.col("slot"), shard_rows))

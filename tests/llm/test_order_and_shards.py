@@ -16,6 +16,7 @@ def test_permutation_matches_python_and_inverts(spark, n):
     assert sorted(got) == list(range(n))
     assert got == [feistel.permute_number(i, n, 3) for i in range(n)]
     assert [feistel.unpermute_number(p, n, 3) for p in got] == list(range(n))
+    assert feistel.permute_array(np.arange(n), n, 3).tolist() == got
 
 
 def test_keys_give_different_orders(spark):
@@ -53,6 +54,17 @@ def test_shard_awkward_rows(spark):
     assert shard(helpers.empty(spark)).collect() == []
 
 
+def test_shards_of_a_row_that_repeats(spark, monkeypatch):
+    """A third of the rows are one row; every place is taken once."""
+    from folium.llm import numbering
+
+    monkeypatch.setattr(numbering.number_rows, "__defaults__", ("_row", 7))
+    rows = [(5, "the same", "en", "a")] * 50 + [(None, f"x{i}", "en", "a") for i in range(50)] + [(i, f"y{i}", "en", "a") for i in range(50)]
+    got = shard(helpers.table(spark, rows)).collect()
+    assert sorted(8 * r.slot + r.shard for r in got) == list(range(150))
+    assert sum(r.doc_id == 5 and r["size"] == 9 for r in got) == 50
+
+
 def test_training_order_round_trip(spark, tmp_path):
     docs = helpers.table(spark).select("doc_id", "text").repartition(3)
     path = str(tmp_path / "docs")

@@ -136,6 +136,31 @@ def test_links_of_a_dense_ball(spark, block):
     assert groups(find) == groups(want.get)
 
 
+@pytest.mark.parametrize("b", [5, 6, 7, 8])
+def test_band_keys_lose_no_pair(spark, b):
+    """Fingerprints that differ in any four bits meet under a key."""
+    rng = np.random.default_rng(b)
+    pairs = []
+    for _ in range(40):
+        x, y = int(rng.integers(0, 1 << 63)), 0
+        for k in rng.choice(64, simhash.MAX_BITS, replace=False):
+            y |= 1 << int(k)
+        pairs.append((x, x ^ y))
+    fps = {v for p in pairs for v in p}
+    df = spark.createDataFrame([(simhash._signed(v),) for v in fps], "fp long")
+    keys = {}
+    for r in simhash.band_keys(df, b).collect():
+        keys.setdefault(r.fp, set()).add((r.band, r.value))
+    assert all(keys[simhash._signed(x)] & keys[simhash._signed(y)] for x, y in pairs)
+
+
+def test_bands_follow_the_number_of_fingerprints():
+    found = [simhash.band_count(n) for n in (0, 10_000, 10**6, 10**8, 10**10, 10**11)]
+    assert found == sorted(found) and found[0] == 5 and found[3] == 6
+    for n, b in zip((10**6, 10**8, 10**10), found[2:], strict=False):
+        assert n / 2 ** (64 * (b - simhash.MAX_BITS) / b) <= simhash.PER_KEY
+
+
 def test_pivots_discard_no_link():
     rng = np.random.default_rng(6)
     a = rng.integers(0, 1 << 64, 500, dtype=np.uint64)
