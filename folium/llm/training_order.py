@@ -48,6 +48,7 @@ KEY = 77_031
 MAX_RANGES = 20_000
 _RUNS = ("  ", "\n\n", " \n", "\n ")
 _OTHER_SPACE = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+NEVER = "\x00\x01never\x02\x00"
 RECORD = np.dtype([("id", "<i8"), ("seq", "<i4"), ("n", "<i4"), ("ids", "<u2", (LENGTH,)), ("end", "u1")])
 
 
@@ -85,7 +86,9 @@ class TokenIds:
             import tiktoken
 
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, content.splitlines())}
-            make = lambda p: tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={})
+            # With no special token at all the library looks for one at every character.  This one
+            # is never allowed, so its string is ordinary text, too.
+            make = lambda p: tiktoken.Encoding("ranks", pat_str=p, mergeable_ranks=ranks, special_tokens={NEVER: len(ranks)})
             self.one, self.plain = make(TokenIds.PATTERN), make(TokenIds.PATTERN.replace(r"|\s+(?!\S)", ""))
 
         @staticmethod

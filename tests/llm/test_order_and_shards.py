@@ -139,6 +139,7 @@ def test_token_ids_equal_the_library(spark):
 
     library = Tokenizer.from_file(default_vocabulary())
     texts = ["", "hello  world\n\n I'll x", "é日本😀 12³", "x" * 3000, " \t\n a"]
+    texts += [f"a{training_order.NEVER}b", training_order.NEVER]
     rnd = random.Random(1)
     pool = ["a", "é", " ", "\n", "日本", "\t", "12", ".", "'s", "word", "\u3000", "\xa0", "\x1c", "\x00", "B,", "(", " x"]
     texts += ["".join(rnd.choice(pool) for _ in range(rnd.randint(1, 30))) for _ in range(2000)]
