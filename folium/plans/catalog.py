@@ -6,9 +6,9 @@ FLAGSHIP = "a8_claim_aggregate"
 
 
 def _modules():
-    from folium.plans import acronyms, drafts, evaluation, evidence, joins, markdown, metadata, models, names, notes, pages, parsing, raters, rates, retrieval, rules, stores, texts, traces, trends, vectors
+    from folium.plans import acronyms, composites, drafts, evaluation, evidence, joins, markdown, metadata, models, names, notes, pages, parsing, raters, rates, retrieval, rules, stores, texts, traces, trends, vectors
 
-    return [acronyms, drafts, evaluation, evidence, joins, markdown, metadata, models, names, notes, pages, parsing, raters, rates, retrieval, rules, stores, texts, traces, trends, vectors]
+    return [acronyms, composites, drafts, evaluation, evidence, joins, markdown, metadata, models, names, notes, pages, parsing, raters, rates, retrieval, rules, stores, texts, traces, trends, vectors]
 
 
 def queries() -> dict:

@@ -122,7 +122,7 @@ def note_aggregate(spark, sf_dir):
         .groupBy("note")
         .agg(
             F.count("*").alias("n_claims"),
-            F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_list("flags")))), ",").alias("flags"),
+            F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("flags")))), ",").alias("flags"),
             F.count_if(F.col("label") == "parse_error").alias("bad"),
             F.count_if(F.col("label").isin("not_in_context", "contradicted")).alias("h"),
         )

@@ -18,7 +18,7 @@ def plain(v):
     if isinstance(v, decimal.Decimal):
         v = float(v)
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 8)
+        return "nan" if math.isnan(v) else round(v, 8)
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None)
     return v
