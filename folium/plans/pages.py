@@ -18,7 +18,7 @@ query = QUERIES.query
 
 def scans(spark, sf_dir):
     """(doc_id, text): pages apart by form feeds, with chapter headings and a copyright page."""
-    head = lambda i: F.when(i == 0, "Copyright, all rights reserved\n").when(i % 3 == 1, F.concat(F.lit("Kapitel "), i.cast("string"), F.lit(". Vom Anfang\n"))).otherwise("")
+    head = lambda i: F.when(i == 0, "Copyright, all rights reserved\n").when(i % 3 == 1, F.concat(F.lit("Kapitel "), (i % 90 + 1).cast("string"), F.lit(". Vom Anfang\n"))).otherwise("")
     page = F.transform(F.split("text", "\n"), lambda p, i: F.concat(head(i), p))
     return table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.array_join(page, "\f").alias("text"))
 
@@ -26,7 +26,7 @@ def scans(spark, sf_dir):
 _PARTS = "SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents"
 
 
-@query("s1_page_scan", f"""WITH p AS ({_PARTS}), q AS (SELECT doc_id, i, CASE WHEN i = 1 THEN 'Copyright, all rights reserved' || chr(10) WHEN (i - 1) % 3 = 1 THEN 'Kapitel ' || (i - 1) || '. Vom Anfang' || chr(10) ELSE '' END || p AS t FROM p)
+@query("s1_page_scan", f"""WITH p AS ({_PARTS}), q AS (SELECT doc_id, i, CASE WHEN i = 1 THEN 'Copyright, all rights reserved' || chr(10) WHEN (i - 1) % 3 = 1 THEN 'Kapitel ' || ((i - 1) % 90 + 1) || '. Vom Anfang' || chr(10) ELSE '' END || p AS t FROM p)
 SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i)::INT AS page, t AS text FROM q WHERE trim(regexp_replace(t, '\\s+', ' ', 'g'), ' ') <> ''""")
 def page_scan(spark, sf_dir):
     return scans(spark, sf_dir).select("doc_id", F.explode(P.scan_pages(F.col("text"))).alias("p")).select("doc_id", "p.*")
@@ -53,7 +53,7 @@ def page_numbers(spark, sf_dir):
 
 
 @query("s8_whole_text", r"""WITH p AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS p, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
-q AS (SELECT doc_id, i, CASE WHEN i = 1 THEN 'Copyright, all rights reserved' || chr(10) WHEN (i - 1) % 3 = 1 THEN 'Kapitel ' || (i - 1) || '. Vom Anfang' || chr(10) ELSE '' END || p AS t FROM p),
+q AS (SELECT doc_id, i, CASE WHEN i = 1 THEN 'Copyright, all rights reserved' || chr(10) WHEN (i - 1) % 3 = 1 THEN 'Kapitel ' || ((i - 1) % 90 + 1) || '. Vom Anfang' || chr(10) ELSE '' END || p AS t FROM p),
 n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS page, count(*) OVER (PARTITION BY doc_id) AS n FROM q WHERE trim(regexp_replace(t, '\s+', ' ', 'g'), ' ') <> '')
 SELECT doc_id, sha256(string_agg(chr(10) || chr(10) || '[S. ' || page || ']' || chr(10) || chr(10) || t, '' ORDER BY page)) AS h, count(*) AS pages FROM n WHERE page > 1 OR n = 1 GROUP BY doc_id""")
 def whole_text(spark, sf_dir):
@@ -113,7 +113,7 @@ def marked(spark, sf_dir):
 @query("w4_chapter_split", f"""WITH p AS ({_PARTS}), q AS (SELECT doc_id, i, i = 1 OR (i - 1) % 3 = 1 OR trim(regexp_replace(p, '\\s+', ' ', 'g'), ' ') <> '' AS filled FROM p),
 n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS page, count(*) FILTER (WHERE (i - 1) % 3 = 1) OVER (PARTITION BY doc_id) AS k FROM q WHERE filled),
 c AS (SELECT doc_id, (i - 2) // 3 AS chapter, min(page) AS own, max(page) AS last FROM n WHERE k >= 2 AND i > 1 GROUP BY ALL)
-SELECT doc_id, chapter::INT AS chapter, (3 * chapter + 1) || ' Vom Anfang' AS title, own::INT AS first, coalesce(lead(own) OVER (PARTITION BY doc_id ORDER BY chapter), last)::INT AS last FROM c""")
+SELECT doc_id, chapter::INT AS chapter, ((3 * chapter + 1) % 90 + 1) || ' Vom Anfang' AS title, own::INT AS first, coalesce(lead(own) OVER (PARTITION BY doc_id ORDER BY chapter), last)::INT AS last FROM c""")
 def chapter_split(spark, sf_dir):
     """Chapters of texts with two headings or more; their pages are those of their markers (the
     marker of the next chapter's page stands before its heading)."""
