@@ -123,7 +123,7 @@ def dynamic_name(file: Column) -> Column:
     s = stem(file)
     row = lambda a, y, t: F.struct(a.alias("author"), y.cast("int").alias("year"), t.alias("title"))
     edge = F.lit(" -_")
-    zotero = row(persons(_without_et_al(F.trim(F.regexp_extract(s, AUTHOR_YEAR_TITLE, 1)))), F.regexp_extract(s, AUTHOR_YEAR_TITLE, 2), F.trim(F.regexp_extract(s, AUTHOR_YEAR_TITLE, 3)))
+    whole = row(persons(_without_et_al(F.trim(F.regexp_extract(s, AUTHOR_YEAR_TITLE, 1)))), F.regexp_extract(s, AUTHOR_YEAR_TITLE, 2), F.trim(F.regexp_extract(s, AUTHOR_YEAR_TITLE, 3)))
     around = rf"(?s)^(.*?){YEAR}(.*)$"
     before, after = F.btrim(F.regexp_extract(s, around, 1), edge), F.btrim(F.regexp_extract(s, around, 3), edge)
     # A year that comes first is followed by the author, up to a dash or underscore.
@@ -135,7 +135,7 @@ def dynamic_name(file: Column) -> Column:
     anchored = row(F.coalesce(last, F.lit("")), F.regexp_extract(s, around, 2), spaced(title))
     plain = row(persons(_without_et_al(F.trim(F.regexp_extract(s, NO_YEAR, 1)))), F.lit(None), F.trim(F.regexp_extract(s, NO_YEAR, 2)))
     return (
-        F.when(s.rlike(AUTHOR_YEAR_TITLE), zotero)
+        F.when(s.rlike(AUTHOR_YEAR_TITLE), whole)
         .when(s.rlike(YEAR) & (F.char_length(author) >= 2) & (F.char_length(title) >= 4), anchored)
         .when(s.rlike(NO_YEAR), plain)
     )
