@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from folium.functions.text import first_group, words
+from folium.functions.text import bound, first_group, words
 
 # Phrases of front matter, and the pattern of a chapter heading, which must
 # not end as a line of a table of contents does.
@@ -114,30 +114,35 @@ def chapters(text: Column) -> Column:
     A chapter's first page may be the last marker before it."""
     # A control character goes before each heading; lines of a table of contents have none.
     cut = F.regexp_replace(F.translate(text, _CUT, ""), CHAPTER.replace("(?m)^", "(?m)^(?![^\\n]*" + _CONTENTS_LINE.replace("$", "(?:\\n|\\z)") + ")"), _CUT + "$0")
-    parts = F.split(cut, _CUT)
-    n = F.size(parts) - 1
-    markers = F.transform(parts, lambda p: F.transform(F.regexp_extract_all(p, F.lit(MARKER), F.lit(1)), lambda x: x.cast("int")))
-
-    def chapter(i: Column) -> Column:
-        part = F.get(parts, i)
-        earlier = F.slice(F.flatten(F.slice(markers, 1, i)), -1, 1)
-        own = F.concat(F.when(F.size(F.flatten(F.slice(markers, 1, i))) > 0, earlier).otherwise(F.array().cast("array<int>")), F.get(markers, i))
+    pages_of = lambda p: F.transform(F.regexp_extract_all(p, F.lit(MARKER), F.lit(1)), lambda x: x.cast("int"))
+
+    def chapter(part: Column, earlier: Column) -> Column:
+        own = F.concat(F.slice(earlier, -1, 1), pages_of(part))
         title = F.concat(F.regexp_extract(part, CHAPTER, 1), F.lit(" "), heading_title(part))
         trimmed = F.regexp_replace(part, r"\A\s+|\s+\z", "")
         return F.struct(title.alias("title"), trimmed.alias("text"), F.array_min(own).alias("first"), F.array_max(own).alias("last"))
 
-    return F.when(n >= 2, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), chapter)).otherwise(word_chunks(text))
+    def of_parts(parts: Column) -> Column:
+        n = F.size(parts) - 1
+        seen = lambda markers: F.transform(
+            F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: bound(F.flatten(F.slice(markers, 1, i)), lambda m: chapter(F.get(parts, i), F.when(F.size(m) > 0, m).otherwise(F.array(F.lit(None).cast("int")))))
+        )
+        return F.when(n >= 2, bound(F.transform(parts, pages_of), seen))
+
+    return F.coalesce(bound(F.split(cut, _CUT), of_parts), word_chunks(text))
 
 
 def overview(text: Column, limit: int = 1500) -> Column:
     """Opening, chapters' beginnings (or samples of a long text) and end, within a budget of words."""
-    w = words(text)
+    return bound(words(text), lambda w: bound(F.slice(chapters(text), 2, 1_000_000), lambda later: _overview(w, later, limit)))
+
+
+def _overview(w: Column, later: Column, limit: int) -> Column:
     n = F.size(w)
     opening = min(600, limit // 3)
     ending = F.when(n > opening + 300, min(300, limit // 5)).otherwise(0)
     middle = F.greatest(F.lit(0), limit - opening - ending)
     run = lambda a, k: F.array_join(F.slice(w, a + 1, F.greatest(k, F.lit(0))), " ")
-    later = F.slice(chapters(text), 2, 1_000_000)
     each = F.greatest(F.lit(50), F.floor(middle / F.greatest(F.size(later), F.lit(1))).cast("int"))
     begins = F.transform(later, lambda c: F.concat(F.lit("=== "), c["title"], F.lit(" ===\n"), F.array_join(F.slice(words(c["text"]), 1, each), " ")))
     step = 1500
