@@ -60,8 +60,8 @@ def retrieval_inference(spark, sf_dir):
 def title_embedding(spark, sf_dir):
     """A title as a unit vector of hashed words, where no encoder is configured."""
     v = T.hashed_vector(F.col("p_name"), 64)
-    rows = table(spark, sf_dir, "part").select("p_partkey", v.alias("v"))
-    return rows.select("p_partkey", F.round(F.sqrt(T.dot(F.col("v"), F.col("v"))), 6).alias("norm"), F.size("v").cast("long").alias("n"))
+    measured = T.bound(v, lambda v: F.struct(F.round(F.sqrt(T.dot(v, v)), 6).alias("norm"), F.size(v).cast("long").alias("n")))
+    return table(spark, sf_dir, "part").select("p_partkey", measured.alias("m")).select("p_partkey", "m.norm", "m.n")
 
 
 @query("j38_max_semantic", f"SELECT q.vec_id AS q, greatest(0.0, max(round({_DOT}, 9))) AS best FROM embeddings q JOIN embeddings c ON q.label = c.label AND q.vec_id <> c.vec_id AND c.vec_id % 3 > 0 WHERE q.vec_id % 100 = 0 GROUP BY 1")
