@@ -149,7 +149,7 @@ def title_ranking(spark, sf_dir):
 def free_variant(spark, sf_dir):
     """The first unused number of a name, where names 2 to n are taken."""
     rows = table(spark, sf_dir, "part").select("p_name").unionAll(table(spark, sf_dir, "part").select("p_name"))
-    n = rows.groupBy("p_name").agg(F.least(F.count("*"), F.lit(999)).alias("n"))
+    n = rows.groupBy("p_name").agg(F.count("*").alias("n"))
     return n.select(F.col("p_name").alias("stem"), F.concat("p_name", F.when(F.col("n") == 1, "").otherwise(F.concat(F.lit("-"), "n"))).alias("free"))
 
 
