@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folium.functions.fuzzy import partial_ratio
-from folium.functions.text import words
+from folium.functions.text import bound, words
 
 CHUNK_WORDS = (100, 180)
 WINDOW_WORDS, WINDOW_CHARS, TITLE_WEIGHT = 400, 8000, 100
@@ -162,22 +162,22 @@ def around_column(sentences: Column, concept: Column) -> Column:
 def coverage(titles: Column, text: Column, overview: Column, tokens) -> Column:
     """struct(n, in_text, half, most, all, phrase): titles half of whose tokens a text holds, and how
     many keep a half, three quarters and all of them in its overview, or their very phrase."""
-    full, short = tokens(text), tokens(overview)
-    flat = F.lower(F.regexp_replace(overview, r"\s+", " "))
-    rows = F.transform(
-        titles,
-        lambda t: F.struct(
-            (F.size(F.array_intersect(tokens(t), full)) / F.nullif(F.size(tokens(t)), F.lit(0))).alias("f"),
-            (F.size(F.array_intersect(tokens(t), short)) / F.nullif(F.size(tokens(t)), F.lit(0))).alias("o"),
-            F.contains(flat, F.lower(F.regexp_replace(t, r"\s+", " "))).alias("p"),
-        ),
-    )
-    held = F.filter(rows, lambda r: r["f"] >= 0.5)
-    n = lambda rule: F.size(F.filter(held, rule))
-    return F.struct(
-        F.size(titles).alias("n"), F.size(held).alias("in_text"), n(lambda r: r["o"] >= 0.5).alias("half"), n(lambda r: r["o"] >= 0.75).alias("most"),
-        n(lambda r: r["o"] >= 1.0).alias("every"), n(lambda r: r["p"]).alias("phrase"),
-    )
+    share = lambda own, held: F.size(F.array_intersect(own, held)) / F.nullif(F.size(own), F.lit(0))
+    flat = lambda t: F.lower(F.regexp_replace(t, r"\s+", " "))
+
+    def kept(rows: Column) -> Column:
+        n = lambda rule: F.size(F.filter(rows, rule))
+        return F.struct(
+            F.size(titles).alias("n"), F.size(rows).alias("in_text"), n(lambda r: r["o"] >= 0.5).alias("half"), n(lambda r: r["o"] >= 0.75).alias("most"),
+            n(lambda r: r["o"] >= 1.0).alias("every"), n(lambda r: r["p"]).alias("phrase"),
+        )
+
+    def rows(full: Column, view: Column) -> Column:
+        of = lambda t: bound(tokens(t), lambda own: F.struct(share(own, full).alias("f"), share(own, view["short"]).alias("o"), F.contains(view["flat"], flat(t)).alias("p")))
+        return F.filter(F.transform(titles, of), lambda r: r["f"] >= 0.5)
+
+    view = bound(overview, lambda o: F.struct(tokens(o).alias("short"), flat(o).alias("flat")))
+    return bound(tokens(text), lambda full: bound(view, lambda v: bound(rows(full, v), kept)))
 
 
 def distinct_names(names: pd.DataFrame, threshold: float, rule) -> pd.DataFrame:

@@ -119,11 +119,10 @@ def distinct_concepts(spark, sf_dir):
 
 @query("a43_overview_coverage")
 def overview_coverage(spark, sf_dir):
-    w = T.words(F.col("text"))
-    n = F.size(w)
-    titles = F.array(*[F.array_join(F.slice(w, F.greatest(F.lit(1), F.floor(n * x).cast("int")), F.lit(2)), " ") for x in (0.1, 0.5, 0.9)])
-    rows = table(spark, sf_dir, "documents").select("doc_id", C.coverage(titles, F.col("text"), P.overview(F.col("text"), 300), T.content_tokens).alias("c"))
-    return rows.select("doc_id", "c.*")
+    pair = lambda w, x: F.array_join(F.slice(w, F.greatest(F.lit(1), F.floor(F.size(w) * x).cast("int")), F.lit(2)), " ")
+    titles = T.bound(T.words(F.col("text")), lambda w: F.array(*[pair(w, x) for x in (0.1, 0.5, 0.9)]))
+    measured = T.bound(titles, lambda t: C.coverage(t, F.col("text"), P.overview(F.col("text"), 300), T.content_tokens))
+    return table(spark, sf_dir, "documents").select("doc_id", measured.alias("c")).select("doc_id", "c.*")
 
 
 @query("w25_claim_picks", """WITH n AS (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY md5('42' || doc_id)) AS k FROM documents), c AS (SELECT doc_id, s, pos FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS pos FROM (SELECT doc_id, """ + split_sql("text") + """ AS l FROM documents WHERE doc_id IN (SELECT doc_id FROM n WHERE k <= 3))))
